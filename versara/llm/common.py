@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +94,17 @@ def small_batches(batches, limit: int = 1 << 22):
 
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
+
+
+#: Stands for a null id where numbers go to numpy; no valid id has this value.
+NO_ID = -(1 << 63)
+
+
+def id_bounds(rows: DataFrame, bucket_rows: int, most: int) -> np.ndarray:
+    """Greatest ids of consecutive id ranges of about ``bucket_rows`` rows, ascending, at most ``most``; the
+    last is the greatest id of all. Reads ids only; each bound is an id that occurs. No ids: empty."""
+    n = count_rows(rows)
+    parts = min(most, max(1, n // bucket_rows))
+    cuts = [(i + 1) / parts for i in range(parts)]
+    found = rows.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * parts)).alias("q"), F.max("doc_id").alias("m")).first()
+    return np.array(sorted({*(found.q or []), *([] if found.m is None else [found.m])}), dtype=np.int64)
