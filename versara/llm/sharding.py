@@ -17,36 +17,43 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 
 
-def limits(base: int, target: int, fan_in: int) -> list[int]:
-    """The size at which each tier ends: base times fan_in, and so on up to the target."""
-    out = [min(base * fan_in, target)]
-    while out[-1] < target:
-        out.append(min(out[-1] * fan_in, target))
-    return out
+def tiers(base: int, target: int, fan_in: int) -> list[tuple[int, int]]:
+    """[low, high) of the tiers: up to base times fan_in, then by that factor up to target / fan_in, and the
+    last one from there to the target."""
+    edges = [0]
+    while (nxt := max(edges[-1], base) * fan_in) < target // fan_in:
+        edges.append(nxt)
+    return [*zip(edges, [*edges[1:], target // fan_in]), (target // fan_in, target)]
 
 
 def compact_plan(shards: DataFrame, *, base: int, target: int, fan_in: int = 4) -> DataFrame:
-    """From ``shards(first, last, bytes, docs, members)`` those after compaction, with ``merges`` (how often
-    their data would have been rewritten).
-
-    Tier by tier from the smallest: a tier's shards, in order of arrival, are cut into runs where their
-    running size passes the tier's limit; each run but the last, which still waits for arrivals, becomes one
-    shard. A run has at most the limit plus one shard, and the last limit is the target. Shards of the
-    target size or more stay as they are.
+    """From ``shards(first, last, bytes, docs, members)`` those after compaction, with ``merges`` (how many
+    tiers they have climbed).
+
+    Tier by tier from the smallest, a tier's shards stand in order of arrival. Below the last tier, every
+    ``fan_in`` of them become one shard, which lies in a higher tier (if they had the base size); the
+    remainder waits for arrivals. In
+    the last tier, runs are cut where their running size passes a multiple of the target, and all but the
+    last run become one shard each, of about the target size. Shards of that size or more stay as they are.
+    So at most fan_in - 1 shards of a lower tier, and one run of the last, remain small.
     """
+    names = ["first", "last", "bytes", "docs", "members", "merges"]
     shards = shards.withColumn("merges", F.lit(0))
-    lower = 0
-    for limit in limits(base, target, fan_in):
-        here = (F.col("bytes") >= lower) & (F.col("bytes") < limit)
+    for low, high in tiers(base, target, fan_in):
+        here = (F.col("bytes") >= low) & (F.col("bytes") < high)
         lane = Window.partitionBy("lane")
+        line = lane.orderBy("first")
         rows = shards.where(here).withColumn("lane", F.expr(f"first div {LANE}"))
-        before = F.coalesce(F.sum("bytes").over(lane.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.withColumn("before", before).withColumn("run", F.expr(f"before div {limit}"))
-        rows = rows.withColumn("key", F.when(F.col("run") == F.max("run").over(lane), F.col("first")).otherwise(-1 - F.col("run")))
+        if high < target:
+            rows = rows.withColumn("n", F.row_number().over(line) - 1).withColumn("run", F.expr(f"n div {fan_in}"))
+            waits = F.col("run") >= F.expr(f"count(1) over (partition by lane) div {fan_in}")
+        else:
+            before = F.coalesce(F.sum("bytes").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rows = rows.withColumn("n", before).withColumn("run", F.expr(f"n div {high}"))
+            waits = F.col("run") == F.max("run").over(lane)
+        rows = rows.withColumn("key", F.when(waits, F.col("first")).otherwise(-2 - F.col("run")))
         merged = rows.groupBy("lane", "key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"), F.flatten(F.collect_list("members")).alias("members"), (F.max("merges") + (F.count(F.lit(1)) > 1).cast("int")).alias("merges"))
-        names = ["first", "last", "bytes", "docs", "members", "merges"]
         shards = shards.where(~here).select(names).unionByName(merged.select(names))
-        lower = limit
     return shards
 
 
@@ -159,14 +166,17 @@ def compacted(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    steps, lower = [], 0
-    for i, limit in enumerate(limits(BASE, TARGET, FAN_IN)):
+    steps = []
+    for i, (low, high) in enumerate(tiers(BASE, TARGET, FAN_IN)):
+        if high < TARGET:
+            run, waits = f"(row_number() over (partition by first // {LANE} order by first) - 1) // {FAN_IN}", f"run >= count(*) over (partition by lane) // {FAN_IN}"
+        else:
+            run, waits = f"coalesce(sum(bytes) over (partition by first // {LANE} order by first rows between unbounded preceding and 1 preceding), 0)::bigint // {high}", "run = max(run) over (partition by lane)"
         steps.append(f"""
-r{i} as (select *, first // {LANE} as lane, coalesce(sum(bytes) over (partition by first // {LANE} order by first rows between unbounded preceding and 1 preceding), 0)::bigint // {limit} as run from s{i} where bytes >= {lower} and bytes < {limit}),
-k{i} as (select *, case when run = max(run) over (partition by lane) then first else -1 - run end as key from r{i}),
-s{i + 1} as (select first, last, bytes, docs, members from s{i} where not (bytes >= {lower} and bytes < {limit}) union all
+r{i} as (select *, first // {LANE} as lane, {run} as run from s{i} where bytes >= {low} and bytes < {high}),
+k{i} as (select *, case when {waits} then first else -2 - run end as key from r{i}),
+s{i + 1} as (select first, last, bytes, docs, members from s{i} where not (bytes >= {low} and bytes < {high}) union all
   select min(first), max(last), sum(bytes)::bigint, sum(docs)::bigint, flatten(list(members)) from k{i} group by lane, key),""")
-        lower = limit
     return f"""
 with d as (select doc_id, coalesce(floor(doc_id / {ARRIVAL_DOCS})::bigint, -1) as arrival, coalesce(strlen(text), 0)::bigint as bytes from documents),
 s0 as (select arrival as first, arrival as last, sum(bytes)::bigint as bytes, count(*) as docs, [arrival] as members from d group by arrival),
