@@ -49,7 +49,7 @@ def intervals() -> tuple[tuple, ...]:
 
 
 def interval_table(spark: SparkSession) -> DataFrame:
-    """The intervals as a DataFrame: fewer than 200 rows, fixed."""
+    """The intervals as a DataFrame: a few hundred rows, whatever the corpus."""
     return spark.createDataFrame(list(intervals()), INTERVALS)
 
 

@@ -82,7 +82,7 @@ def gate(c: Corpus, e: Expectations) -> DataFrame:
 
     out.append(_rows(c.verses.groupBy("bcv").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate verse", F.col("bcv"), F.lit(1), F.col("n")))
     seen, omitted = c.verses.select("bcv"), frame([(x,) for x in e.omitted], "bcv string")
-    every = chapters.select(F.concat_ws(".", "book", "chapter", F.explode(F.sequence(F.lit(1), "most"))).alias("bcv"))
+    every = chapters.select("book", "chapter", F.explode(F.sequence(F.lit(1), "most")).alias("verse")).select(F.concat_ws(".", "book", "chapter", "verse").alias("bcv"))
     out.append(_rows(every.join(seen, "bcv", "left_anti").join(omitted, "bcv", "left_anti"), "gap in numbering", F.col("bcv"), present, absent))
     out.append(_rows(omitted.join(seen, "bcv", "left_semi"), "declared omitted", F.col("bcv"), absent, present))
 

@@ -23,9 +23,8 @@ def gate_gaps(spark, sf_dir):
 
 
 def gate_anti_join(spark, sf_dir):
-    """Customers that no order names."""
-    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_anti")
+    """Documents that have no label."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
 def gate_full_outer(spark, sf_dir):
@@ -133,7 +132,7 @@ for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("
 ORACLE_SQL = {
     "gate_duplicates": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1",
     "gate_gaps": "with m as (select l_orderkey, unnest(range(1, max(l_linenumber) + 1))::int as line from lineitem group by l_orderkey) select * from m where not exists (select 1 from lineitem l where l.l_orderkey = m.l_orderkey and l.l_linenumber = m.line)",
-    "gate_anti_join": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)",
+    "gate_anti_join": "select doc_id, lang from documents where doc_id not in (select doc_id from labels)",
     "gate_full_outer": "select case when lines is null then 'missing' when o_orderkey is null then 'unexpected' else 'both' end as state, count(*) as orders, coalesce(sum(lines), 0)::bigint as lines from orders full join (select l_orderkey, count(*) as lines from lineitem group by 1) on o_orderkey = l_orderkey group by 1",
     "gate_set_equality": "select coalesce(a.k, b.k)::bigint as key, a.k is not null as in_region, b.k is not null as in_nation from (select distinct r_regionkey as k from region) a full join (select distinct n_regionkey as k from nation) b on a.k = b.k where a.k is null or b.k is null or coalesce(a.k, b.k) < 2",
     "gate_brackets_markup": "select page_id, length(replace(html, '[', '')) <> length(replace(html, ']', '')) as unbalanced, regexp_matches(html, '[<>]') as markup, length(html) - length(replace(html, '<', '')) as opens from pages",

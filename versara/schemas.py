@@ -6,6 +6,7 @@ CHAPTER_LINES = "translation string, kind string, book string, chapter int, text
 INTERPOLATIONS = "translation string, after_bcv string, text string"
 BOOKS = "translation string, pos int, book string"
 LEDGER = "translation string, bucket string, marker string, chars long"
+SOURCES = "translation string, path string, format string, source_chars long"
 NOTES = "translation string, bcv string, note int, raw string, lemma string, readings array<string>, range string"
 #: What one source file says, in one row: files are parsed in parallel, then spread into the tables.
 DOCUMENT = (

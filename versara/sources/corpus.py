@@ -58,7 +58,8 @@ class Corpus:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Corpus:
-        return Corpus(*[spark.read.parquet(f"{path}/{n}") for n in ("verses", "chapter_lines", "interpolations", "books", "ledger", "sources")])
+        tables = {"verses": schemas.VERSES, "chapter_lines": schemas.CHAPTER_LINES, "interpolations": schemas.INTERPOLATIONS, "books": schemas.BOOKS, "ledger": schemas.LEDGER, "sources": schemas.SOURCES}
+        return Corpus(*[spark.read.schema(s).parquet(f"{path}/{n}") for n, s in tables.items()])
 
 
 def _parse(batches, format: str | None):
