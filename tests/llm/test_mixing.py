@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from versara.llm import mixing, sharding
 from versara.llm.common import table
 
-LEVELS = (mixing.domain(), F.col("lang"), F.col("source"))
+
+def levels():
+    return mixing.domain(), F.col("lang"), F.col("source")
 
 
 def share_out(budget, nodes):
@@ -57,7 +59,7 @@ def brute(rows, share, epochs, seed, weights):
 @pytest.mark.parametrize(("share", "epochs"), [(0.6, 3), (0.9, 1), (1.7, 2), (0.0, 1), (5.0, 2)])
 def test_against_brute_force(spark, sf, share, epochs):
     docs = table(spark, sf, "documents")
-    got = mixing.select(docs, mixing.plan(docs, LEVELS, mixing.WEIGHTS, share=share, max_epochs=epochs, seed=3))
+    got = mixing.select(docs, mixing.plan(docs, levels(), mixing.WEIGHTS, share=share, max_epochs=epochs, seed=3))
     rows = [(r.doc_id, (r.d, r.lang, r.source), len((r.text or "").split())) for r in docs.withColumn("d", mixing.domain()).collect()]
     assert sorted((r.doc_id, r.epoch, r.take_tokens) for r in got.collect()) == brute(rows, share, epochs, 3, mixing.WEIGHTS)
 
