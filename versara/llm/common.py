@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -65,9 +64,12 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
-    target = os.path.join(tempfile.mkdtemp(prefix="versara-ship-"), f"{root.name}.zip")
-    Path(target).write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(target)
+    path = f"{shared_dir(spark)}/versara/{root.name}-{uuid.uuid4().hex}.zip"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(data.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
 
 

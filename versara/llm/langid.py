@@ -19,7 +19,9 @@ _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 @dataclass(frozen=True)
 class Settings:
     """``slots``: training documents per language at most (the bound of the sample that leaves the
-    executors). ``bits``: hash buckets as a power of two. ``longest``: letters of the longest subword."""
+    executors). ``bits``: hash buckets as a power of two. ``longest``: letters of the longest subword.
+    ``reject_factor``, ``reject_share``: a document is rejected if its confidence is below so many times that
+    of a blind guess, and below all but this share of the calibration documents."""
 
     slots: int = 400
     bits: int = 15
@@ -30,7 +32,7 @@ class Settings:
     rate: float = 40.0
     decay: float = 1e-6
     seed: int = 7
-    reject_below: float = 0.4
+    reject_factor: float = 1.25
     reject_share: float = 0.001
 
 
@@ -108,7 +110,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(rows: list, s: Settings) -> Model:
     """Stochastic gradient descent on four fifths of the sample; the last fifth sets the temperature (by
-    likelihood) and the floor: the lowest ``reject_share`` of confidences, never over ``reject_below``."""
+    likelihood) and the floor: the lowest ``reject_share`` of confidences, never over ``reject_factor`` times a
+    blind guess, so that only documents of no recognisable language go."""
     languages, size = sorted({r.lang for r in rows}), 1 << s.bits
     if not languages:
         return Model([], np.zeros((size, 0), np.float32), np.zeros(0, np.float32), settings=s)
@@ -150,7 +153,7 @@ def fit(rows: list, s: Settings) -> Model:
     z, y = np.concatenate(z), np.concatenate(y)
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
-    model.floor = float(min(s.reject_below, np.quantile(_softmax(z / model.temperature).max(axis=1), s.reject_share)))
+    model.floor = float(min(s.reject_factor / len(languages), np.quantile(_softmax(z / model.temperature).max(axis=1), s.reject_share)))
     return model
 
 
