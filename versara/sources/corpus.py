@@ -58,7 +58,7 @@ class Corpus:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Corpus:
-        tables = {"verses": schemas.VERSES, "chapter_lines": schemas.CHAPTER_LINES, "interpolations": schemas.INTERPOLATIONS, "books": schemas.BOOKS, "ledger": schemas.LEDGER, "sources": schemas.SOURCES}
+        tables = {"verses": schemas.SERVED, "chapter_lines": schemas.CHAPTER_LINES, "interpolations": schemas.INTERPOLATIONS, "books": schemas.BOOKS, "ledger": schemas.LEDGER, "sources": schemas.SOURCES}
         return Corpus(*[spark.read.schema(s).parquet(f"{path}/{n}") for n, s in tables.items()])
 
 
