@@ -1,3 +1,4 @@
+import dataclasses
 import json
 
 import pytest
@@ -26,7 +27,7 @@ def test_publish_swaps_whole_generations(spark, tmp_path):
         publish(spark, bad, str(tmp_path / "out"))
     assert current(spark, str(tmp_path / "out"), "t")[0]["generationId"] == first["generationId"]
     source.write_text("\\id GEN a\n\\c 1\n\\p\n\\v 1 One good day!\n\\v 2 Two.\n", encoding="utf-8")
-    second = publish(spark, build, str(tmp_path / "out"))
+    second = publish(spark, dataclasses.replace(build, searchable=False), str(tmp_path / "out"))
     assert second["generationId"] != first["generationId"] and second["revisionId"] != first["revisionId"]
     assert current(spark, str(tmp_path / "out"), "t")[0]["generationId"] == second["generationId"]
 

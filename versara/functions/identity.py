@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 #: The versions that enter a generation's manifest.
@@ -50,8 +50,14 @@ def row_sha256(*cols: Column) -> Column:
 
 
 def fingerprint(rows: DataFrame, key: str, digest: Column) -> DataFrame:
-    """One SHA-256 over all rows' digests in key order, in two steps so that no task gathers all rows: keys
-    fall into ranges, a range hashes its rows in order, and the ranges' hashes are hashed."""
-    part = F.expr(f"{key} div 4096")
-    ranges = rows.select(part.alias("part"), F.struct(F.col(key), digest.alias("h")).alias("r")).groupBy("part").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"])), 256).alias("h"))
-    return ranges.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda r: r["h"])), 256).alias("fingerprint"))
+    """One SHA-256 over all rows' digests in key order, as a tree: 4,096 keys make a leaf, 4,096 leaves a
+    branch, and the branches the root; no task gathers more than one node's children."""
+    level = rows.select(F.col(key).alias("k"), digest.alias("h"))
+    for _ in range(2):
+        level = _node(level.groupBy(F.expr("k div 4096").alias("k")))
+    return _node(level.groupBy()).select(F.col("h").alias("fingerprint"))
+
+
+def _node(grouped: GroupedData) -> DataFrame:
+    children = F.array_sort(F.collect_list(F.struct(F.col("k").alias("child"), "h")))
+    return grouped.agg(F.sha2(F.concat_ws("", F.transform(children, lambda r: r["h"])), 256).alias("h"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versara.functions.identity import canonical_json
+from versara.operators.stats import upper_median
 
 #: Values that change from one answer to the next and say nothing about it.
 VOLATILE = ("timestamp", "storedAt", "generatedAt")
@@ -93,5 +94,4 @@ def report(cells: DataFrame) -> DataFrame:
 
 def cpu_summary(samples: DataFrame) -> DataFrame:
     """Exact upper median and maximum of ``cpu_ms`` per path, with the number of samples."""
-    ordered = F.array_sort(F.collect_list("cpu_ms"))
-    return samples.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.element_at(ordered, F.expr("int(count(1) div 2)") + 1).alias("median"), F.max("cpu_ms").alias("worst"))
+    return upper_median(samples, "path", "cpu_ms").select("path", "n", "median", F.col("largest").alias("worst"))

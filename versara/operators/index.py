@@ -68,19 +68,34 @@ def build(docs: DataFrame, with_families: bool = True) -> Index:
     return Index(entries, terms, doc_stats(docs), fam)
 
 
+#: Long lists are worked on in blocks, so that no word's list, however common, is one task's work.
+BLOCK = 65_536
+
+
 def deltas(entries: DataFrame) -> DataFrame:
-    """Postings as differences from the one before in the same list (the first from 0)."""
-    line = Window.partitionBy("edition", "token").orderBy("doc")
-    return entries.select("edition", "token", "doc", F.row_number().over(line).alias("pos"), (F.col("doc") - F.lag("doc", 1, 0).over(line)).alias("delta"))
+    """Postings as differences from the one before in the same list (the first from 0), with their place.
+    Inside a block of documents by a window; across blocks by their counts and greatest documents, of which
+    a list has few."""
+    rows = entries.select("edition", "token", "doc", F.expr(f"doc div {BLOCK}").alias("block"))
+    line = Window.partitionBy("edition", "token").orderBy("block")
+    blocks = rows.groupBy("edition", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("most"))
+    blocks = blocks.select("edition", "token", "block", (F.sum("n").over(line) - F.col("n")).alias("before"), F.lag("most", 1, 0).over(line).alias("last"))
+    inside = Window.partitionBy("edition", "token", "block").orderBy("doc")
+    joined = rows.join(blocks, ["edition", "token", "block"])
+    pos = (F.col("before") + F.row_number().over(inside)).alias("pos")
+    return joined.select("edition", "token", "doc", pos, (F.col("doc") - F.coalesce(F.lag("doc").over(inside), "last")).alias("delta"))
 
 
 def undelta(encoded: DataFrame) -> DataFrame:
-    """Differences back to documents."""
-    line = Window.partitionBy("edition", "token").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return encoded.select("edition", "token", "pos", F.sum("delta").over(line).alias("doc"))
+    """Differences back to documents: running sums inside blocks of places, and of the blocks' own sums."""
+    rows = encoded.select("edition", "token", "pos", "delta", F.expr(f"pos div {BLOCK}").alias("block"))
+    line = Window.partitionBy("edition", "token").orderBy("block")
+    blocks = rows.groupBy("edition", "token", "block").agg(F.sum("delta").alias("s")).select("edition", "token", "block", (F.sum("s").over(line) - F.col("s")).alias("before"))
+    inside = Window.partitionBy("edition", "token", "block").orderBy("pos")
+    return rows.join(blocks, ["edition", "token", "block"]).select("edition", "token", "pos", (F.col("before") + F.sum("delta").over(inside)).alias("doc"))
 
 
 def lists36(encoded: DataFrame) -> DataFrame:
-    """A token's list as one string of base-36 differences."""
+    """Lists as strings of base-36 differences, in segments of 65,536 places."""
     items = F.array_sort(F.collect_list(F.struct("pos", base36(F.col("delta")).alias("d"))))
-    return encoded.groupBy("edition", "token").agg(F.array_join(F.transform(items, lambda r: r["d"]), " ").alias("encoded"))
+    return encoded.groupBy("edition", "token", F.expr(f"(pos - 1) div {BLOCK}").alias("segment")).agg(F.array_join(F.transform(items, lambda r: r["d"]), " ").alias("encoded"))

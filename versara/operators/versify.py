@@ -57,9 +57,15 @@ def ranges(verses: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def offsets(rows: DataFrame, part: str, order: str, length: str) -> DataFrame:
-    """Exclusive running sums of a length: where each text would start in one blob per part."""
-    line = Window.partitionBy(part).orderBy(order).rowsBetween(FIRST, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(length).over(line), F.lit(0)))
+    """Exclusive running sums of a length: where each text would start in one blob per part. Sums run inside
+    blocks of the whole-numbered order, and over the blocks, so a part that holds most rows is many tasks."""
+    block = F.expr(f"{order} div 4096")
+    rows = rows.withColumn("_block", block)
+    over = Window.partitionBy(part).orderBy("_block")
+    sums = rows.groupBy(part, "_block").agg(F.sum(length).alias("_sum")).select(part, "_block", (F.sum("_sum").over(over) - F.col("_sum")).alias("_before"))
+    inside = Window.partitionBy(part, "_block").orderBy(order).rowsBetween(FIRST, -1)
+    joined = rows.join(sums, [part, "_block"])
+    return joined.withColumn("start", F.col("_before") + F.coalesce(F.sum(length).over(inside), F.lit(0))).drop("_block", "_before")
 
 
 def differing(table: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from versara.functions.identity import fingerprint, row_sha256
 from versara.functions.text import collapse, count_of, decode_entities, excerpt, residual_markup, strip_tags, unbalanced
 from versara.operators.apparatus import note_parts
+from versara.operators.milestones import attribute
+from versara.operators.stats import upper_median
 from versara.queries.common import table
 
 
@@ -75,16 +76,14 @@ def collapse_whitespace(spark, sf_dir):
 
 def milestone_attribution(spark, sf_dir):
     """Events belong to the user's last signup before them."""
-    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("open", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(line))
-    return e.groupBy("open").agg(F.count(F.lit(1)).alias("events"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    opened = attribute(e, "user_id", F.date_trunc("day", F.col("ts")), ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")))
+    return opened.groupBy("open").agg(F.count(F.lit(1)).alias("events"))
 
 
 def median_max(spark, sf_dir):
     """The upper median and the greatest value per kind of event, exactly."""
-    e = table(spark, sf_dir, "events")
-    ranked = e.where("value is not null").select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("value")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
-    return ranked.groupBy("event_type").agg(F.max(F.when(F.col("r") == F.expr("n div 2 + 1"), F.col("value"))).alias("median"), F.max("value").alias("largest"))
+    return upper_median(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", "median", "largest")
 
 
 def row_hash(spark, sf_dir):
@@ -144,7 +143,7 @@ ORACLE_SQL = {
     "milestone_attribution": "select open, count(*) as events from (select last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as open from events) group by open",
     "median_max": "with r as (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(value) filter (r = n // 2 + 1) as median, max(value) as largest from r group by event_type",
     "row_hash": "select doc_id, sha256(concat_ws(chr(31), doc_id::varchar, coalesce(lang, chr(0)), coalesce(text, chr(0)))) as sha256 from documents",
-    "corpus_fingerprint": "with p as (select doc_id // 4096 as part, sha256(string_agg(sha256(text), '' order by doc_id)) as h from documents group by 1) select sha256(string_agg(h, '' order by part)) as fingerprint from p",
+    "corpus_fingerprint": "with p as (select doc_id // 4096 as k, sha256(string_agg(sha256(text), '' order by doc_id)) as h from documents group by 1), b as (select k // 4096 as k, sha256(string_agg(h, '' order by k)) as h from p group by 1) select sha256(string_agg(h, '' order by k)) as fingerprint from b",
     "excerpts": f"select doc_id, case when length({_FLAT}) > 60 then left({_FLAT}, 60) || '…' else {_FLAT} end as excerpt from documents",
     "note_split": "select * from (values (0, 'word W1 ] other W2; third', 'word W1', 'other W2|third', null), (1, 'a b WH ] – Treg; c NA ;', 'a b WH', '– Treg|c NA', '22–23'), (2, 'x ] y', 'x', 'y', null), (3, 'plain ]', 'plain', '', null)) t(i, raw, lemma, readings, range)",
     "probe_matrix": _MATRIX,

@@ -129,7 +129,7 @@ def postings_delta_roundtrip(spark, sf_dir):
 
 
 def postings_base36(spark, sf_dir):
-    return index.lists36(index.deltas(postings(spark, sf_dir).where("edition = 'es'"))).select("token", "encoded")
+    return index.lists36(index.deltas(postings(spark, sf_dir).where("edition = 'es'"))).select("token", "segment", "encoded")
 
 
 def text_offsets(spark, sf_dir):
