@@ -138,7 +138,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     doc_id, one stays; rows with a null doc_id stay, as nothing can name them."""
     found = near_duplicates(docs.select("doc_id", "text"))
     keep = write_cut(found.where("doc_id = component_id").select("doc_id"), "kept")
-    out = docs.join(keep.distinct(), "doc_id", "left_semi")
+    # a shuffle join at every size: the ids that stay grow with the input
+    out = docs.join(keep.distinct().hint("merge"), "doc_id", "left_semi")
     if keep.groupBy("doc_id").count().where("count > 1").head(1):
         out = out.dropDuplicates(["doc_id"])
     return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
