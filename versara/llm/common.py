@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +57,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Spark's own default of rows in a batch for Python, and ours: a batch holds whole texts.
+DEFAULT_BATCH, TEXT_BATCH = "10000", "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, for clusters where it isn't installed."""
+    """Sends this package to the executors once per application, for clusters where it isn't installed; and
+    keeps batches of texts small unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -86,12 +96,18 @@ def tokenizer_path(name: str) -> str:
 
 def small_batches(batches, limit: int = 1 << 22):
     """Cuts record batches into slices of about ``limit`` bytes, so that Python objects made from a batch
-    of long texts stay small. Every row is kept, in order."""
-    for batch in batches:
-        rows, size = batch.num_rows, batch.nbytes
-        step = max(1, rows * limit // max(size, 1))
-        for at in range(0, rows, step):
-            yield batch.slice(at, step)
+    of long texts stay small. Every row is kept, in order. At the end of the task, memory that allocators
+    hold goes back to the system, as workers live on."""
+    try:
+        for batch in batches:
+            rows, size = batch.num_rows, batch.nbytes
+            step = max(1, rows * limit // max(size, 1))
+            for at in range(0, rows, step):
+                yield batch.slice(at, step)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def count_rows(df: DataFrame) -> int:

@@ -2,9 +2,9 @@
 
 Both vocabularies cut a text into pieces before any merge, and no merge crosses a piece. The ids of a
 text are therefore the ids of its pieces, one after another, and natural text repeats its pieces. A
-worker keeps the ids of the pieces that it has met (at most ``limit``; then it forgets them all, which
-changes the time and never the ids). Texts in which the cheap cut could differ from the tokenizer's own
-go through the tokenizer whole.
+worker keeps the ids of the pieces that it has met, in two generations of at most ``limit`` (when the young
+one is full it becomes the old one, and what is met again moves over; this changes the time and never the
+ids). Texts in which the cheap cut could differ from the tokenizer's own go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import array
 import json
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -22,6 +23,10 @@ _ODD = re.compile("[\x00-\x08\x0e-\x1f\x85]")
 _PLAIN = re.compile("[\x20-\x7e\xa1-įı-ɏ–—‘’“”…€]*")
 
 
+if array.array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian 32-bit numbers")
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary: printable Latin-1
     characters stand for themselves, the other bytes take the code points from 256 on, in order."""
@@ -34,11 +39,11 @@ class Encoder:
     """``encode(text)`` gives the ids of a text as unsigned 32-bit numbers, as the tokenizers library does
     with add_special_tokens=False."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.limit, self.memo = limit, {}
+        self.limit, self.memo, self.old = limit, {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
@@ -60,7 +65,7 @@ class Encoder:
         import tiktoken
 
         coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.piece, self.cut = coder.encode_ordinary, self._spaces
+        self.piece, self.cut, self.plain = coder.encode_ordinary, self._spaces, lambda letters: letters
 
     def _open_words(self, spec: dict) -> None:
         import regex
@@ -77,7 +82,8 @@ class Encoder:
                 out += [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]
             return out
 
-        self.piece, self.cut = piece, self._words
+        # letters alone, of a range in which lower-casing goes character by character
+        self.piece, self.cut, self.plain = piece, self._words, lambda letters: letters.lower() if _PLAIN.fullmatch(letters) else None
 
     def _spaces(self, text: str) -> list[str] | None:
         """Single spaces open a piece, single line ends are pieces: so do the vocabulary's own rules cut
@@ -96,26 +102,35 @@ class Encoder:
         chunks = self.cut(text) if self.piece else None
         if chunks is None:
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        memo = self.memo
-        found = [*map(memo.get, chunks)]
+        found = [*map(self.memo.get, chunks)]
         if None in found:
-            if len(memo) > self.limit:
-                memo.clear()
             for i, got in enumerate(found):
                 if got is None:
-                    chunk = chunks[i]
-                    if (got := memo.get(chunk)) is None:
-                        got = np.asarray(self.piece(chunk), dtype="<u4").tobytes() if array.array("I").itemsize != 4 else array.array("I", self.piece(chunk)).tobytes()
-                        if len(chunk) <= 64:
-                            memo[chunk] = got
-                    found[i] = got
+                    found[i] = self._find(chunks[i])
         return b"".join(found)
 
+    def _find(self, chunk: str) -> bytes:
+        """The ids of a chunk: remembered, or those of its letters and of the mark after them (which is
+        always a piece of its own), or encoded."""
+        if (got := self.memo.get(chunk)) is not None:
+            return got
+        if (got := self.old.get(chunk)) is None:
+            core, mark = (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ",.;:!?" else (chunk, "")
+            if core.lstrip(" ").isalpha() and (key := self.plain(core)) not in (None, chunk):
+                got = self._find(key) + (self._find(mark) if mark else b"")
+            else:
+                got = array.array("I", self.piece(chunk)).tobytes()
+        if len(chunk) <= 64:
+            if len(self.memo) >= self.limit:
+                self.old, self.memo = self.memo, {}
+            self.memo[chunk] = got
+        return got
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), dtype="<u4")
 
 
-def encoder(path: str, limit: int = 400_000) -> Encoder:
+def encoder(path: str, limit: int = 150_000) -> Encoder:
     """The worker's encoder of a vocabulary file; opened once in each worker."""
     if (path, limit) not in _OPEN:
         _OPEN[path, limit] = Encoder(path, limit)
