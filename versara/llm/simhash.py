@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, small_batches, table, write_cut
 from .graph import connected_components
+from .shingles import one_of_each  # noqa: F401 (the pipeline's stage)
 
 #: Every second bit: the low bit of each two-bit segment.
 LOW = 0x5555555555555555
@@ -131,15 +132,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component, whole and once. Of rows that repeat a
-    doc_id, one stays; rows with a null doc_id stay, as nothing can name them."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    keep = write_cut(found.where("doc_id = component_id").select("doc_id"), "kept")
-    # a shuffle join at every size: the ids that stay grow with the input
-    out = docs.join(keep.distinct().hint("merge"), "doc_id", "left_semi")
-    if keep.groupBy("doc_id").count().where("count > 1").head(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
