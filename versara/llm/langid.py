@@ -20,8 +20,9 @@ _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 class Settings:
     """``slots``: training documents per language at most (the bound of the sample that leaves the
     executors). ``bits``: hash buckets as a power of two. ``longest``: letters of the longest subword.
-    ``reject_factor``, ``reject_share``: a document is rejected if its confidence is below so many times that
-    of a blind guess, and below all but this share of the calibration documents."""
+    ``reject_share``: the share of documents like the calibration ones that either floor is to reject.
+    ``prior``: how many usual subwords are added to a text when its likeness is judged, as a few subwords say
+    little."""
 
     slots: int = 400
     bits: int = 15
@@ -32,21 +33,26 @@ class Settings:
     rate: float = 40.0
     decay: float = 1e-6
     seed: int = 7
-    reject_factor: float = 1.25
     reject_share: float = 0.001
+    prior: float = 100.0
 
 
 @dataclass
 class Model:
     """``scores`` holds the logits that each bucket adds (embedding times output matrix): a document's
-    logits are the mean over its subwords plus ``bias``. ``floor``: the confidence below which a document
-    is rejected."""
+    logits are the mean over its subwords plus ``bias``. ``usual`` holds the log frequency of each bucket in
+    all languages, each of the same weight, ``centre`` the median of the documents' means: a text's likeness
+    is by how much the mean of its subwords is above the centre, so texts in several languages are alike. ``floor``, ``unlike``: the confidence and the likeness
+    below which a document is rejected."""
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     floor: float = 0.0
+    usual: np.ndarray | None = None
+    centre: float = 0.0
+    unlike: float = -np.inf
     settings: Settings = field(default_factory=Settings)
 
 
@@ -108,10 +114,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def tail(x: np.ndarray, share: float) -> float:
+    """The value below which about ``share`` of documents like these lie: their quantile, or, as few documents
+    don't reach so far, the end of an exponential tail through their lowest tenth if that is lower, made longer
+    by twice the error of its mean."""
+    start = np.quantile(x, 0.1)
+    below = x[x <= start]
+    mean = float((start - below).mean()) * (1 + 2 / len(below) ** 0.5)
+    return float(min(np.quantile(x, share), start - mean * np.log(0.1 / share)))
+
+
 def fit(rows: list, s: Settings) -> Model:
     """Stochastic gradient descent on four fifths of the sample; the last fifth sets the temperature (by
-    likelihood) and the floor: the lowest ``reject_share`` of confidences, never over ``reject_factor`` times a
-    blind guess, so that only documents of no recognisable language go."""
+    likelihood) and both floors (``tail``): that of the confidence and that of the likeness, by
+    which texts go that are unlike all training languages, however sure the softmax is of them."""
     languages, size = sorted({r.lang for r in rows}), 1 << s.bits
     if not languages:
         return Model([], np.zeros((size, 0), np.float32), np.zeros(0, np.float32), settings=s)
@@ -143,17 +159,25 @@ def fit(rows: list, s: Settings) -> Model:
             emb -= rate * (back + s.decay * emb)
             bias -= 0.1 * min(rate, 1.0) * g.sum(axis=0)
             step += 1
-    model = Model(languages, emb @ out, bias, settings=s)
+    seen = np.full((size, len(languages)), 0.5)
+    for r in train:
+        seen[np.frombuffer(r.ids, "<u4"), at[r.lang]] += np.frombuffer(r.counts, "<u4")
+    usual = np.log((seen / seen.sum(axis=0)).mean(axis=1)).astype(np.float32)
+    model = Model(languages, emb @ out, bias, usual=usual, settings=s)
     held = held or train
-    z, y = [], []
+    z, y, like, n = [], [], [], []
     for i in range(0, len(held), s.batch):
         x, t = dense(held[i : i + s.batch])
         z.append(x @ model.scores + bias)
+        like.append(x @ usual)
         y.append(t.argmax(axis=1))
-    z, y = np.concatenate(z), np.concatenate(y)
+        n += [np.frombuffer(r.counts, "<u4").sum() for r in held[i : i + s.batch]]
+    z, y, like, n = np.concatenate(z), np.concatenate(y), np.concatenate(like), np.array(n, float)
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
-    model.floor = float(min(s.reject_factor / len(languages), np.quantile(_softmax(z / model.temperature).max(axis=1), s.reject_share)))
+    model.floor = tail(_softmax(z / model.temperature).max(axis=1), s.reject_share)
+    model.centre = float(np.median(like))
+    model.unlike = tail((like - model.centre) * n / (n + s.prior), s.reject_share)
     return model
 
 
@@ -166,17 +190,19 @@ def train(docs: DataFrame, usable: Column | None = None, settings: Settings | No
 
 def classify(text: str | None, m: Model) -> tuple[str, float, bool]:
     """(language, confidence, rejected) of a whole text, in blocks, so that memory stays bounded."""
-    total, n = np.zeros(len(m.languages)), 0
+    total, like, n = np.zeros(len(m.languages)), 0.0, 0
     for at in range(0, len(text or ""), 1 << 18):
         ids = subwords(text[at : at + (1 << 18)], m.settings)
         if len(ids):
             total += m.scores.take(ids, axis=0).sum(axis=0, dtype=np.float64)
+            like += float(m.usual.take(ids).sum(dtype=np.float64)) if m.usual is not None else 0
             n += len(ids)
     if not n or not m.languages:
         return UNDETERMINED, 0.0, True
     p = _softmax(((total / n + m.bias) / m.temperature)[None])[0]
     best = int(p.argmax())
-    return m.languages[best], float(p[best]), bool(p[best] < m.floor)
+    unlike = m.usual is not None and (like / n - m.centre) * n / (n + m.settings.prior) < m.unlike
+    return m.languages[best], float(p[best]), bool(p[best] < m.floor or unlike)
 
 
 def _predictions(batches, m: Model):
