@@ -72,6 +72,12 @@ def build(docs: DataFrame, with_families: bool = True) -> Index:
 BLOCK = 65_536
 
 
+def _by_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows with what their block knows; a null edition is an edition like any other."""
+    b = blocks.select(F.col("edition").alias("_e"), F.col("token").alias("_t"), F.col("block").alias("_b"), *[c for c in blocks.columns if c not in ("edition", "token", "block")])
+    return rows.join(b, F.col("edition").eqNullSafe(F.col("_e")) & (F.col("token") == F.col("_t")) & (F.col("block") == F.col("_b"))).drop("_e", "_t", "_b")
+
+
 def deltas(entries: DataFrame) -> DataFrame:
     """Postings as differences from the one before in the same list (the first from 0), with their place.
     Inside a block of documents by a window; across blocks by their counts and greatest documents, of which
@@ -81,7 +87,7 @@ def deltas(entries: DataFrame) -> DataFrame:
     blocks = rows.groupBy("edition", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("most"))
     blocks = blocks.select("edition", "token", "block", (F.sum("n").over(line) - F.col("n")).alias("before"), F.lag("most", 1, 0).over(line).alias("last"))
     inside = Window.partitionBy("edition", "token", "block").orderBy("doc")
-    joined = rows.join(blocks, ["edition", "token", "block"])
+    joined = _by_block(rows, blocks)
     pos = (F.col("before") + F.row_number().over(inside)).alias("pos")
     return joined.select("edition", "token", "doc", pos, (F.col("doc") - F.coalesce(F.lag("doc").over(inside), "last")).alias("delta"))
 
@@ -92,7 +98,7 @@ def undelta(encoded: DataFrame) -> DataFrame:
     line = Window.partitionBy("edition", "token").orderBy("block")
     blocks = rows.groupBy("edition", "token", "block").agg(F.sum("delta").alias("s")).select("edition", "token", "block", (F.sum("s").over(line) - F.col("s")).alias("before"))
     inside = Window.partitionBy("edition", "token", "block").orderBy("pos")
-    return rows.join(blocks, ["edition", "token", "block"]).select("edition", "token", "pos", (F.col("before") + F.sum("delta").over(inside)).alias("doc"))
+    return _by_block(rows, blocks).select("edition", "token", "pos", (F.col("before") + F.sum("delta").over(inside)).alias("doc"))
 
 
 def lists36(encoded: DataFrame) -> DataFrame:

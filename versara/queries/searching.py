@@ -132,6 +132,19 @@ def postings_base36(spark, sf_dir):
     return index.lists36(index.deltas(postings(spark, sf_dir).where("edition = 'es'"))).select("token", "segment", "encoded")
 
 
+def postings_delta_encode_all(spark, sf_dir):
+    """The lists of every edition, a null one among them."""
+    return index.deltas(postings(spark, sf_dir)).select("edition", "token", F.col("pos").cast("long").alias("pos"), "delta")
+
+
+def postings_delta_roundtrip_all(spark, sf_dir):
+    return index.undelta(index.deltas(postings(spark, sf_dir))).select("edition", "token", "doc")
+
+
+def postings_base36_all(spark, sf_dir):
+    return index.lists36(index.deltas(postings(spark, sf_dir))).select("edition", "token", "segment", "encoded")
+
+
 def text_offsets(spark, sf_dir):
     from versara.operators.versify import offsets
 
@@ -167,6 +180,9 @@ QUERIES = {
     "postings_delta_encode": postings_delta_encode,
     "postings_delta_roundtrip": postings_delta_roundtrip,
     "postings_base36": postings_base36,
+    "postings_delta_encode_all": postings_delta_encode_all,
+    "postings_delta_roundtrip_all": postings_delta_roundtrip_all,
+    "postings_base36_all": postings_base36_all,
     "text_offsets": text_offsets,
     "highlight": highlighted,
 }
