@@ -150,7 +150,7 @@ def test_probes(spark):
     want_bad = ["unsafe", "unsafe", "unsafe", "missing", "divergent", "unsafe", "divergent", "unsafe", "unsafe", "unsafe", "divergent", "missing", "missing", "missing", "unsafe"]
     for name, want in (("good", want_good), ("bad", want_bad), ("mute", ["not-applicable"] * 15), ("down", ["unreachable"] * 15)):
         assert [cells[name, p.id].verdict for p in probes.PROBES] == want, name
-    assert cells["good", "verse-out-of-range"].summary == "refused, stating the real length"
+    assert cells["good", "verse-out-of-range"].summary == "error answer with the true length"
     assert probes.histogram(probes.matrix(adapters, outcomes)).first().n >= 15
     raw = spark.createDataFrame([('{"verses":[{"book_id":"JHN","chapter":3,"verse":16,"text":"a"}]}', '[{"bookname":"John","chapter":"3","verse":"16","text":"a"}]', '[{"b":"43","c":"3","v":"16","t":"a"}]', '{"16":{"chapter":3,"verse":16,"text":"a"}}')], "a string, b string, c string, d string")
     for column, kind in zip("abcd", ("verses", "list", "rows", "map")):

@@ -18,7 +18,7 @@ def english_verses() -> list[int]:
 
 @cache
 def titled() -> frozenset[int]:
-    return frozenset(range(1, 151)) - {int(x) for x in seed.UNTITLED.split()}
+    return frozenset(int(x) for x in seed.TITLED.split())
 
 
 @cache
@@ -68,7 +68,7 @@ def from_greek(positions: DataFrame) -> DataFrame:
 
 
 def has_title(psalm: Column) -> Column:
-    return ~psalm.isin([int(x) for x in seed.UNTITLED.split()]) & psalm.between(1, 150)
+    return psalm.isin(sorted(titled()))
 
 
 def english_count(psalm: Column) -> Column:
@@ -103,26 +103,26 @@ def greek_position(psalm: int, verse: int) -> tuple[str, int, int | None]:
     """One position on the driver: (kind, psalm, verse)."""
     mine = [r for r in intervals() if r[0] == psalm]
     if not mine:
-        raise NumberingError(f"There is no Psalm {psalm} in Greek numbering")
+        raise NumberingError(f"no Greek psalm {psalm}")
     for _, lo, hi, kind, target, first, reason in mine:
         if lo <= verse <= hi:
             if kind == "refused":
                 raise NumberingError(reason)
             return kind, target, None if kind == "title" else first + verse - lo
-    raise NumberingError(f"Psalm {psalm} only has {mine[-1][2]} verses in this edition's Greek numbering")
+    raise NumberingError(f"Greek psalm {psalm} ends at verse {mine[-1][2]}")
 
 
 def greek_length(psalm: int) -> int:
     mine = [r[2] for r in intervals() if r[0] == psalm]
     if not mine:
-        raise NumberingError(f"There is no Psalm {psalm} in Greek numbering")
+        raise NumberingError(f"no Greek psalm {psalm}")
     return max(mine)
 
 
 def hebrew_position(psalm: int, verse: int) -> tuple[str, int, int | None]:
     total = hebrew_length(psalm)
     if not 1 <= verse <= total:
-        raise NumberingError(f"Psalm {psalm} only has {total} verses in Hebrew numbering")
+        raise NumberingError(f"Hebrew psalm {psalm} ends at verse {total}")
     if psalm not in titled():
         return "verse", psalm, verse
     return ("title", psalm, None) if verse == 1 else ("verse", psalm, verse - 1)

@@ -24,16 +24,17 @@ meta id h toc toc1 toc2 toc3 toca1 toca2 toca3 qc mt mt1 mt2 mt3 mt4 ms ms1 ms2
 meta ip im iot io io1 io2 ie imt imt1 ide rem sts cl cp ca periph ndx
 """
 
-#: ``*n`` stands for the style itself and the style with each digit from 1 to n.
 USX = """
 mark c v
-text add addpn bd bdit bk ca dc efm em fm it jmp k lik litl liv*5 nd ndx no ord pn png pro qac qs qt rb rq sc sig
-text sls sup tl va vp w wa wg wh wj
-para b cls lf lh li*4 lim*4 m mi nb p p1 p2 pb pc ph*3 pi*3 pm pmc pmo pmr po pr q*4 qd qm*3 qr tr
+text add addpn bd bdit bk ca dc efm em fm it jmp k lik litl liv liv1 liv2 liv3 liv4 liv5 nd ndx no ord pn png pro qac qs
+text qt rb rq sc sig sls sup tl va vp w wa wg wh wj
+para b cls lf lh li li1 li2 li3 li4 lim lim1 lim2 lim3 lim4 m mi nb p p1 p2 pb pc ph ph1 ph2 ph3 pi pi1 pi2 pi3 pm pmc
+para pmo pmr po pr q q1 q2 q3 q4 qd qm qm1 qm2 qm3 qr tr
 note cat ef f fdc fe fk fl fp fq fqa fr ft fv fw
-meta cd cl cp d esb ex h*3 ib id ide ie iex ili*2 im imi imq imt*4 imte*2 io*4 ior iot ip ipi ipq ipr iq*3 iqt is*2
-meta k1 k2 lit mr ms*3 mt*4 mte*2 qa qc r rem restore s*4 sd*4 sp sr toc1 toc2 toc3 toca1 toca2 toca3 ts usfm
-meta x xdc xk xnt xo xop xot xq xt xta
+meta cd cl cp d esb ex h h1 h2 h3 ib id ide ie iex ili ili1 ili2 im imi imq imt imt1 imt2 imt3 imt4 imte imte1 imte2 io
+meta io1 io2 io3 io4 ior iot ip ipi ipq ipr iq iq1 iq2 iq3 iqt is is1 is2 k1 k2 lit mr ms ms1 ms2 ms3 mt mt1 mt2 mt3 mt4
+meta mte mte1 mte2 qa qc r rem restore s s1 s2 s3 s4 sd sd1 sd2 sd3 sd4 sp sr toc1 toc2 toc3 toca1 toca2 toca3 ts usfm x
+meta xdc xk xnt xo xop xot xq xt xta
 """
 
 #: Elements of the style-based format; those in the second row are looked through.
@@ -73,13 +74,11 @@ Re Revelation REV
 
 
 def roles(text: str) -> dict[str, str]:
-    """Name to role, with ranges spelled out."""
+    """Name to role."""
     out = {}
     for line in text.split("\n"):
         role, *names = line.split() or [""]
-        for name in names:
-            stem, star, n = name.partition("*")
-            out |= dict.fromkeys([stem, *(f"{stem}{i}" for i in range(1, int(n) + 1))] if star else [name], role)
+        out |= dict.fromkeys(names, role)
     return out
 
 
