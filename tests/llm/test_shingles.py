@@ -68,6 +68,17 @@ def test_awkward_rows(spark):
     assert shingles.one_of_each(empty(spark)).collect() == []
 
 
+def test_rows_that_repeat_an_id(spark):
+    x, y = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    of = lambda rows: sorted((r.doc_id, r.text) for r in shingles.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, mark int, id string")).collect())
+    clash = lambda *rows: [(i, t, 1, "z") for i, t in rows]
+    assert of(clash((3, x), (5, y), (5, x))) == [(3, x), (5, y)]
+    assert of(clash((5, y), (5, x))) == sorted([(5, y), (5, x)])
+    assert of(clash((5, x), (5, x), (7, x), (8, y))) == [(5, x), (8, y)]
+    got = shingles.one_of_each(spark.createDataFrame(clash((None, x), (4, x), (None, y), (None, y)), "doc_id long, text string, mark int, id string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, y), (4, x)]
+
+
 def test_a_row_without_id_links_others(spark):
     w = [f"w{i}" for i in range(64)]
     x, y = [*w, "p", "q", "r", "s", "t", "u"], ["p1", "q1", "r1", "s1", "t1", "u1", *w]

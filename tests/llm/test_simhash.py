@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from versara.llm.common import table
 from versara.llm.graph import connected_components
-from versara.llm.simhash import embedding, fingerprint, links, near_duplicates, one_of_each, op8_simhash
+from versara.llm.simhash import embedding, fingerprint, links, near_duplicates, op8_simhash
+from versara.llm.shingles import one_of_each
 
 
 def slow_fingerprint(text):

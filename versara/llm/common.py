@@ -41,13 +41,40 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/versara/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a finished execution gives its shuffle files back at once.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session that holds inside the block only."""
+    was = spark.conf.get(name) if spark.conf.isModifiable(name) else None
+    if was is None:
+        yield
+        return
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def write_cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back: lineage ends here, so a lost
-    executor costs no recomputation of what stands above."""
+    executor costs no recomputation of what stands above, and the shuffles that led here are given back."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, FREE_SHUFFLES, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop_cuts(*tables: DataFrame) -> None:
+    """Deletes tables that ``write_cut`` returned, once all that reads them has been written itself."""
+    for t in tables:
+        drop_path(t.sparkSession, t._written_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches, table, write_cut
+from .common import drop_cuts, ship, small_batches, table, write_cut
 from .graph import connected_components
-from .shingles import one_of_each  # noqa: F401 (the pipeline's stage)
 
 #: Every second bit: the low bit of each two-bit segment.
 LOW = 0x5555555555555555
@@ -43,6 +42,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(total * 2 > k, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        total += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _fingerprints(batches, shingle: int):
     for batch in small_batches(batches):
         out = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
@@ -70,6 +77,11 @@ def embedding(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
+def within(a: Column, b: Column, distance: int) -> Column:
+    """Whether two fingerprints differ in ``distance`` bits or fewer, by their embeddings' Manhattan distance first."""
+    return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
+
+
 def _cells(fps: DataFrame) -> DataFrame:
     """``(side, cell, fp, e)``: the embedding's grid cell under each choice of three runs of five. Two
     vectors at Manhattan distance 2 or less differ in two runs at most, and so share a cell."""
@@ -83,7 +95,7 @@ def _cells(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, *, distance: int = 2, cell_limit: int = 256) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints whose transitive closure is that of all pairs at
-    ``distance`` (at most 2) or fewer differing bits.
+    ``distance`` (at most 2) or fewer differing bits. ``fps(fp)`` holds each fingerprint once.
 
     Cells of up to ``cell_limit`` fingerprints: the pairs of a cell whose Manhattan distance is in reach are
     verified exactly. Fuller cells (thousands of near copies): their fingerprints go through the exact
@@ -118,7 +130,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Equal fingerprints are one node, so copies cost nothing after the first aggregation. Null and wordless
     texts have fingerprint 0 and are linked like any other. Null ids take part, but never name a component
-    (null if a component has no other). Repeated rows come back as often. An empty table gives no rows.
+    (null if a component has no other). Repeated rows come back as often; ties can't arise, as links are
+    undirected. Very long texts are hashed whole, in blocks. Other columns are ignored, whatever their names.
+    An empty table gives no rows. Cells over ``links``' ``cell_limit`` go another exact way, by which no link
+    is lost.
     """
     prints = write_cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     nodes = write_cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -126,6 +141,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = write_cut(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     many = write_cut(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = write_cut(placed.select("fp", "root").join(many, "root").select("fp", "component_id"), "named")
+    drop_cuts(nodes, placed, many)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
