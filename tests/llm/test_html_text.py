@@ -4,7 +4,7 @@ import re
 import pytest
 
 from versara.llm.common import table
-from versara.llm.html_text import extract, main_text, op9_html
+from versara.llm.html_text import Page, extract, main_text, op9_html
 
 ARTICLE = "The first paragraph has some length, a few commas, and so counts for its container. " * 2
 
@@ -38,6 +38,65 @@ def test_noise_goes_and_text_stays(noise, shape):
         assert main_text(page) == want
 
 
+LONG = "Here is a sentence of the article, with a comma, and with words enough to count for something. "
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f'<body><nav><a href="/">Home</a></nav><div class="legal-notice"><h1>Act</h1><p>{LONG}</p><p>{LONG * 2}</p></div></body>', ["Act", LONG, LONG * 2]),
+        (f'<article><p>{LONG}</p><p class="comment-on-law">On the law, briefly.</p></article>', [LONG, "On the law, briefly."]),
+        (f'<body><div><p>{LONG}</p><div class="social-history-text"><p>Social history, in short.</p></div></div></body>', [LONG, "Social history, in short."]),
+        (f"<article><header><h1>Head</h1><p>A lead, short.</p></header><p>{LONG}</p></article>", ["Head", "A lead, short.", LONG]),
+        (f'<article><p>{LONG}</p><ul><li><a href="1">Smith (1990)</a></li><li><a href="2">Jones (1991)</a></li></ul></article>', [LONG, "Smith (1990)", "Jones (1991)"]),
+        (f'<body><div class="wrap"><div><p>{LONG * 10}</p></div><div><p>{LONG}</p></div></div></body>', [LONG * 10, LONG]),
+        (f'<body><form><div id="main"><p>{LONG}</p><p>{LONG}</p></div></form></body>', [LONG, LONG]),
+        (f'<body><div><p>{LONG}</p><p>{LONG}</p></div><div id="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></body>', [LONG, LONG]),
+        (f'<body><div><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div></body>', [LONG, LONG]),
+        ("<div>" * 40 + f"<p>{LONG}</p>" + "</div>" * 40 + f"<div><p>{LONG}</p></div>", [LONG]),
+    ],
+)
+def test_text_outweighs_names(page, kept):
+    assert main_text(page) == "\n".join(x.strip() for x in kept)
+
+
+def brute_scores(tree, at=()):
+    """Scores of a tree of (tag, children) with texts as leaves, by walking from each paragraph to the root."""
+    scores, letters = {}, {}
+
+    def walk(node, path):
+        tag, children = node
+        for i, child in enumerate(children):
+            if isinstance(child, str):
+                worth = 1 + child.count(",") + len(child) / 100
+                up = path if tag == "div" else path[:-1]
+                for level in range(len(up)):
+                    scores[up[: len(up) - level]] = scores.get(up[: len(up) - level], 0) + worth * (1 if not level else 0.5 * (2 / 3) ** (level - 1))
+            else:
+                walk(child, (*path, i))
+
+    walk(tree, (0,))
+    return scores
+
+
+def test_scores_against_brute_force():
+    import random
+
+    rng = random.Random(3)
+
+    def grow(depth):
+        if not depth or rng.random() < 0.3:
+            return ("p", ["x" * rng.randrange(1, 200) + "," * rng.randrange(4)])
+        return ("div", [grow(depth - 1) for _ in range(rng.randrange(1, 4))])
+
+    show = lambda node: node if isinstance(node, str) else f"<{node[0]}>{''.join(map(show, node[1]))}</{node[0]}>"
+    for _ in range(50):
+        tree = ("div", [grow(5), grow(5)])
+        page = Page(show(tree))
+        best, score = page._best([(e, "".join(parts), link) for e, parts, link in page.blocks])
+        assert score == pytest.approx(max(brute_scores(tree).values()))
+
+
 @pytest.mark.parametrize(("source", "want"), [(None, ""), ("", ""), ("just text", "just text"), ("<p>One.", "One."), ("a < b", "a < b"), ("<p>&nbsp;</p>", ""), ("<div>a<p>b</div>c", "a\nb\nc"), ("<table><tr><td>x<td>y</table>", "x\ny"), ("<p>unclosed <b", "unclosed")])
 def test_small_pages(source, want):
     assert main_text(source) == want

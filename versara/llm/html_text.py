@@ -20,43 +20,54 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that never hold the article.
-DROPPED = frozenset("nav footer aside form head menu button select option svg canvas object audio video dialog label input fieldset".split())
+#: Elements and roles that never hold the article: what is in them goes.
+DROPPED = frozenset("nav footer aside head menu button select option svg canvas object audio video dialog label input fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form note status".split())
-#: Words of class and id that speak against an element, and for it.
-AGAINST = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion comment comments commentlist disqus respond reply replies discussion sidebar widget share sharing social nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay related recommend recommended recommendations pagination pager toolbar skip hidden copyright legal disclaimer outbrain taboola tags sitemap search form".split())
-FOR = frozenset("article content main post entry body text story page column".split())
-STRONG = frozenset("ad ads advert adverts advertisement comment comments commentlist disqus sidebar share social nav navbar navigation menu cookie cookies consent newsletter related breadcrumb breadcrumbs promo sponsor sponsored pagination widget footer banner notice".split())
+#: Words of class and id that speak against an element, those of them that mean readers' comments, and words
+#: that say nothing of what an element holds.
+AGAINST = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar widget share sharing social nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay related recommend recommended recommendations pagination pager toolbar skip hidden copyright legal disclaimer outbrain taboola tags sitemap search form".split())
+REMARKS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+PLAIN = frozenset("the of and area bar block body bottom box btn button buttons bottom center class col column container content desktop element entry first fixed form group holder icons inner item items js last left link links list main mobile module outer panel post posts primary row secondary section sidebar site slot small sticky story stories text thread top unit wide wrap wrapper right page right".split())
+#: How many times the worth of the rest of the page an element has to be worth to stand though its class
+#: speaks against it.
+OUTWEIGHS = 4.0
+CLEAN, MARKED, REMARK, GONE = range(4)
 _CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _LISTS = frozenset("ul ol div table section dl p".split())
 
 
-def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
+def _standing(tag: str, raw: str, in_article: bool) -> int:
+    """GONE by tag, role or attribute; MARKED or REMARK if its class or id speaks against it, which is weighed
+    against the text; else CLEAN. A name speaks against an element if it holds such a word and no word of
+    another subject: ``cookie-notice`` does, ``comment-on-law`` doesn't."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return GONE
+    found = MARKED if tag == "form" else CLEAN
     if not raw or raw.isspace():
-        return False
+        return found
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
+        return GONE
     if attrs.get("role", "").lower() in ROLES:
-        return True
+        return GONE
     if tag in ("html", "body", "article", "main") or tag in HEADINGS:
-        return False
-    words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    found = words & AGAINST
-    if not found or words & {"no", "without", "has", "with"}:
-        return False
-    return bool(found & STRONG) or not words & FOR
+        return found
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = {w.lower() for w in _WORDS.findall(name) if not w.isdigit()}
+        if words <= AGAINST | REMARKS | PLAIN:
+            found = max(found, REMARK if words & REMARKS else MARKED if words & AGAINST else CLEAN)
+    return found
 
 
 class Page:
     """The tree of a page in document order: element i spans elements i to ``end[i]`` - 1. ``blocks`` holds
-    [element, text parts, letters of links] in page order; dropped elements leave none."""
+    [element, text parts, letters of links] in page order; elements that are gone leave none. ``against[i]`` is
+    the outermost element at or above i whose class speaks against it (0: none), ``remark`` those of comments."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.end, self.links = ["#root"], [-1], [0], [0]
+        self.tag, self.parent, self.end, self.links, self.against = ["#root"], [-1], [0], [0], [0]
+        self.remark: set[int] = set()
         self.blocks: list[list] = []
         self._parse(source)
 
@@ -147,9 +158,11 @@ class Page:
             parent.append(stack[-1])
             end.append(0)
             self.links.append(name == "a")
-            hide = off[-1] or _unwanted(name, m[3], articles > 0)
-            if not off[-1] and not hide and opened["header"] and name not in HEADINGS and tag[stack[-1]] not in HEADINGS:
-                hide = name in ("p", "div", "ul", "ol", "span", "time", "address", "section")
+            standing = GONE if off[-1] else _standing(name, m[3], articles > 0)
+            hide, above = standing == GONE, self.against[stack[-1]]
+            self.against.append(above or (i if standing in (MARKED, REMARK) else 0))
+            if standing == REMARK and not above:
+                self.remark.add(i)
             if m[3].endswith("/") and name not in BLOCK and name != "a":
                 end[i] = i + 1
                 continue
@@ -162,68 +175,92 @@ class Page:
         pop(0)
 
     def main_text(self) -> str:
-        """The blocks of the best container and of its good siblings, one line each."""
-        tag, parent, end = self.tag, self.parent, self.end
-        n = len(tag)
-        points, letters, linked = [0.0] * n, [0] * n, [0] * n
+        """The blocks of the best container and of its good siblings, one line each.
+
+        What classes speak against is first left aside. Then each such element is weighed, unless there is
+        text in an ``article`` or ``main``: it stands if it is worth several times the best container of the
+        rest; comments stand only where there is nothing else."""
         blocks = []
         for element, parts, link in self.blocks:
-            line = " ".join("".join(parts).split())
-            if not line:
-                continue
-            blocks.append((element, line))
+            if line := " ".join("".join(parts).split()):
+                blocks.append((element, line, min(link, len(line))))
+        rest = [x for x in blocks if not self.against[x[0]]]
+        best, score = self._best(rest)
+        worth: dict[int, float] = {}
+        for element, line, link in blocks:
+            if mark := self.against[element]:
+                worth[mark] = worth.get(mark, 0.0) + _worth(line, link)
+        stand = {m for m, w in worth.items() if m not in self.remark and w > OUTWEIGHS * max(score, 1.0)}
+        if not stand and score <= 0:
+            stand = set(worth)
+        if any(self.tag[i] in ("article", "main") and self.letters[i] for i in range(len(self.tag))):
+            stand = set()
+        if stand:
+            rest = [x for x in blocks if self.against[x[0]] in stand or not self.against[x[0]]]
+            best, score = self._best(rest)
+        return "\n".join(self._lines(rest, best, score))
+
+    def _best(self, blocks: list) -> tuple[int, float]:
+        """The element of the best score. A block's worth goes to the element around its paragraph, half of it
+        to the one above, and two thirds of what an element passed on to each further one, up to the root; a
+        score is discounted by link density."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        own, passed, letters, linked = [0.0] * n, [0.0] * n, [0] * n, [0] * n
+        for element, line, link in blocks:
             letters[element] += len(line)
-            linked[element] += min(link, len(line))
-            if tag[element] in HEADINGS or tag[element] in ("summary", "figcaption", "caption"):
-                continue
-            worth = (1 + line.count(",") + line.count("，") + len(line) / 100) * (1 - min(1.0, link / len(line)))
-            at = element if tag[element] in ("div", "section", "article", "main", "body", "#root", "center") else parent[element]
-            share = 1.0
-            for level in range(6):
-                if at < 0:
-                    break
-                points[at] += worth * share
-                share = 0.5 if not level else share * 2 / 3
-                at = parent[at]
-        anchors = self.links[:]
+            linked[element] += link
+            if tag[element] not in HEADINGS and tag[element] not in ("summary", "figcaption", "caption"):
+                own[element if tag[element] in _CONTAINERS else max(parent[element], 0)] += _worth(line, link)
         for i in range(n - 1, 0, -1):
             letters[parent[i]] += letters[i]
             linked[parent[i]] += linked[i]
-            anchors[parent[i]] += anchors[i]
-        density = [linked[i] / letters[i] if letters[i] else 0.0 for i in range(n)]
-        score = [points[i] * (1 - density[i]) for i in range(n)]
-        if not blocks:
-            return ""
+            passed[parent[i]] += own[i] / 2 + passed[i] * 2 / 3
+        self.letters, self.density = letters, [linked[i] / letters[i] if letters[i] else 0.0 for i in range(n)]
+        score = [(own[i] + passed[i]) * (1 - self.density[i]) for i in range(n)]
         best = max(range(n), key=lambda i: (score[i], -i))
-        if score[best] <= 0:
-            kept = [(0, n)] if density[0] < 0.5 else []
-        else:
-            at = best
-            while at > 0:
-                if tag[at] in ("article", "main"):
-                    best = at
-                    break
-                at = parent[at]
-            kept = [(best, end[best])]
-            for i in range(parent[best] + 1, end[parent[best]] if best else 0):
-                if parent[i] != parent[best] or i == best:
-                    continue
-                good = score[i] >= max(1.0, 0.2 * score[best])
-                if tag[i] == "p":
-                    good |= letters[i] > 80 and density[i] < 0.25 or density[i] == 0 and letters[i] > 0
-                if tag[i] in HEADINGS:
-                    good |= density[i] == 0 and letters[i] > 0
-                if good:
+        return best, score[best]
+
+    def _lines(self, blocks: list, best: int, score: float) -> list[str]:
+        """The lines of the container (of the article around it, if there is one) and of its siblings that are
+        text: those with few links that hold a sentence, or are paragraphs, headings, lists or tables
+        themselves. Lists of links stay inside an article; elsewhere those go whose links are short."""
+        tag, parent, end, letters, density = self.tag, self.parent, self.end, self.letters, self.density
+        n = len(tag)
+        if score <= 0:
+            return [line for _, line, _ in blocks] if density[0] < 0.5 else []
+        longest, anchors = [0] * n, self.links[:]
+        for element, line, _ in blocks:
+            longest[element] = max(longest[element], len(line))
+        for i in range(n - 1, 0, -1):
+            anchors[parent[i]] += anchors[i]
+            longest[parent[i]] = max(longest[parent[i]], longest[i])
+        at, tagged = best, False
+        while at > 0 and not tagged:
+            if tag[at] in ("article", "main"):
+                best, tagged = at, True
+            at = parent[at]
+        kept = [(best, end[best])]
+        for i in range(parent[best] + 1, end[parent[best]] if best else 0):
+            if parent[i] == parent[best] and i != best and letters[i] and density[i] < (0.25 if letters[i] > 80 else 0.01):
+                if tag[i] in _TEXTUAL or longest[i] > 80:
                     kept.append((i, end[i]))
-        menus = [(i, end[i]) for i in range(1, n) if tag[i] in _LISTS and anchors[i] > 1 and density[i] > 0.66]
         inside = bytearray(n)
         for a, b in kept:
             inside[a:b] = b"\x01" * (b - a)
-        for a, b in menus:
-            inside[a:b] = bytes(b - a)
-        own = parent[best] if best else -1
-        lines = [line for element, line in blocks if inside[element] or element == own and own >= 0 and len(line) > 80 and tag[best] not in ("article", "main")]
-        return "\n".join(lines)
+        for i in range(1, n):
+            if not tagged and tag[i] in _LISTS and anchors[i] > 1 and density[i] > 0.66 and letters[i] < 30 * anchors[i]:
+                inside[i : end[i]] = bytes(end[i] - i)
+        around = parent[best] if best and not tagged else -1
+        return [line for element, line, _ in blocks if inside[element] or element == around and len(line) > 80]
+
+
+_CONTAINERS = frozenset("div section article main body #root center td blockquote form".split())
+_TEXTUAL = HEADINGS | frozenset("p ul ol dl table blockquote pre figure".split())
+
+
+def _worth(line: str, link: int) -> float:
+    """A point for a block, one for each comma and one for every hundred letters, less its share of links."""
+    return (1 + line.count(",") + line.count("，") + len(line) / 100) * (1 - link / len(line))
 
 
 def main_text(source: str | None) -> str:
@@ -238,10 +275,11 @@ def _texts(batches):
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, text)`` for every row, from the whole html.
+    """``(page_id, url, text)`` for every row, from the whole html, however long.
 
-    Null or empty html, and pages without text: an empty text. Null ids and urls stay null. Repeated rows
-    come back as often; other columns are ignored; an empty table gives no rows.
+    Null or empty html, and pages without text: an empty text. Of containers with the same score the first in
+    the page is taken. Null ids and urls stay null. Repeated rows come back as often; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
