@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -20,7 +22,7 @@ _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 class Settings:
     """``slots``: training documents per language at most (the bound of the sample that leaves the
     executors). ``bits``: hash buckets as a power of two. ``longest``: letters of the longest subword.
-    ``reject_share``: the share of documents like the calibration ones that either floor is to reject.
+    ``steps``: steps of the descent, however many documents there are. ``reject_share``: the share of documents like the calibration ones that either floor is to reject.
     ``prior``: how many usual subwords are added to a text when its likeness is judged, as a few subwords say
     little."""
 
@@ -28,7 +30,7 @@ class Settings:
     bits: int = 15
     longest: int = 4
     width: int = 16
-    epochs: int = 12
+    steps: int = 300
     batch: int = 64
     rate: float = 40.0
     decay: float = 1e-6
@@ -114,6 +116,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def gradients(x: np.ndarray, y: np.ndarray, emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The mean cross-entropy of documents (rows of ``x`` are their subwords' shares, of ``y`` their languages),
+    and its gradients by embeddings, output matrix and bias."""
+    hidden = x @ emb
+    p = _softmax(hidden @ out + bias)
+    g = (p - y) / len(x)
+    return float(-(y * np.log(np.maximum(p, 1e-12))).sum() / len(x)), x.T @ (g @ out.T), hidden.T @ g, g.sum(axis=0)
+
+
+def descend(x: np.ndarray, y: np.ndarray, emb: np.ndarray, out: np.ndarray, bias: np.ndarray, rate: float, decay: float) -> None:
+    """One step, in place. Embeddings take the full rate, as a bucket's share of a document is small; the output
+    matrix at most 1, the bias a tenth of that."""
+    _, by_emb, by_out, by_bias = gradients(x, y, emb, out, bias)
+    out -= min(rate, 1.0) * (by_out + decay * out)
+    emb -= rate * (by_emb + decay * emb)
+    bias -= 0.1 * min(rate, 1.0) * by_bias
+
+
 def tail(x: np.ndarray, share: float) -> float:
     """The value below which about ``share`` of documents like these lie: their quantile, or, as few documents
     don't reach so far, the end of an exponential tail through their lowest tenth if that is lower, made longer
@@ -146,19 +166,13 @@ def fit(rows: list, s: Settings) -> Model:
 
     held = [r for r in rows if r.slot % 5 == 4]
     train = [r for r in rows if r.slot % 5 != 4] or rows
-    steps, step = s.epochs * -(-len(train) // s.batch), 0
-    for _ in range(s.epochs):
-        order = rng.permutation(len(train))
-        for i in range(0, len(order), s.batch):
-            x, y = dense([train[j] for j in order[i : i + s.batch]])
-            rate = s.rate * (1 - step / steps)
-            hidden = x @ emb
-            g = (_softmax(hidden @ out + bias) - y) / len(x)
-            back = x.T @ (g @ out.T)
-            out -= min(rate, 1.0) * (hidden.T @ g + s.decay * out)
-            emb -= rate * (back + s.decay * emb)
-            bias -= 0.1 * min(rate, 1.0) * g.sum(axis=0)
-            step += 1
+    order: list[int] = []
+    for step in range(s.steps):
+        while len(order) < s.batch:
+            order += rng.permutation(len(train)).tolist()
+        some, order = order[: s.batch], order[s.batch :]
+        x, y = dense([train[j] for j in some])
+        descend(x, y, emb, out, bias, s.rate * (1 - step / s.steps), s.decay)
     seen = np.full((size, len(languages)), 0.5)
     for r in train:
         seen[np.frombuffer(r.ids, "<u4"), at[r.lang]] += np.frombuffer(r.counts, "<u4")
@@ -173,26 +187,45 @@ def fit(rows: list, s: Settings) -> Model:
         y.append(t.argmax(axis=1))
         n += [np.frombuffer(r.counts, "<u4").sum() for r in held[i : i + s.batch]]
     z, y, like, n = np.concatenate(z), np.concatenate(y), np.concatenate(like), np.array(n, float)
-    loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
-    model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
-    model.floor = tail(_softmax(z / model.temperature).max(axis=1), s.reject_share)
+    # a few documents that are all right don't prove certainty: the targets are smoothed by Laplace's rule
+    doubt = 1 / (len(y) + 2)
+    target = (1 - doubt) * np.eye(len(languages))[y] + doubt / len(languages)
+    loss = lambda t: -(target * np.log(np.maximum(_softmax(z / t), 1e-300))).sum(axis=1).mean()
+    model.temperature = float(min(np.geomspace(0.01, 100, 161), key=loss))
+    model.floor = min(0.5, tail(_softmax(z / model.temperature).max(axis=1), s.reject_share))
     model.centre = float(np.median(like))
     model.unlike = tail((like - model.centre) * n / (n + s.prior), s.reject_share)
     return model
 
 
 def train(docs: DataFrame, usable: Column | None = None, settings: Settings | None = None) -> Model:
-    """Fits a model on the rows of ``docs(doc_id, text, lang)`` where ``usable`` holds."""
+    """Fits a model on the rows of ``docs(doc_id, text, lang)`` where ``usable`` holds: on ``slots`` of each
+    language at most. Rows with a null id, text or language, and texts without letters, aren't learnt from; a
+    repeated row that is chosen is learnt from as often as it comes. Very long texts count as one document like
+    any other, whole. Of equal hashes the smaller id is taken. An empty table gives a model without languages."""
     ship(docs.sparkSession)
     s = settings or Settings()
     return fit(sample(docs.select("doc_id", "text", "lang"), F.lit(True) if usable is None else usable, s), s)
 
 
+_SPACE = re.compile(r"\s")
+
+
+def blocks(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """A text in blocks of about ``size`` characters that end at white space, so no word is cut."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + size)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 def classify(text: str | None, m: Model) -> tuple[str, float, bool]:
     """(language, confidence, rejected) of a whole text, in blocks, so that memory stays bounded."""
     total, like, n = np.zeros(len(m.languages)), 0.0, 0
-    for at in range(0, len(text or ""), 1 << 18):
-        ids = subwords(text[at : at + (1 << 18)], m.settings)
+    for block in blocks(text or ""):
+        ids = subwords(block, m.settings)
         if len(ids):
             total += m.scores.take(ids, axis=0).sum(axis=0, dtype=np.float64)
             like += float(m.usual.take(ids).sum(dtype=np.float64)) if m.usual is not None else 0
@@ -216,8 +249,9 @@ def predict(docs: DataFrame, m: Model, *, id_col: str = "doc_id", text_col: str
     """``(doc_id, lang_pred, score, rejected)`` for every row, from its whole text alone.
 
     Null texts and texts without a letter: ``und`` with score 0, rejected. A model without languages
-    calls everything ``und``. Repeated rows come back as often; other columns are ignored; an empty table
-    gives no rows.
+    calls everything ``und``. Of languages with the same score the first in alphabetical order is taken. Very
+    long texts are read whole, in blocks that end at white space. Repeated rows come back as often; null ids
+    stay null; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
