@@ -6,7 +6,7 @@ from cases import awkward, empty
 from tokenizers import Tokenizer
 
 from versara.llm.common import table, tokenizer_path
-from versara.llm.packing import SumOfSquares, op2_packing, pack, packed
+from versara.llm.packing import SumOfSquares, finish, op2_packing, pack, packed
 from versara.llm.tokens import Encoder
 
 
@@ -60,7 +60,7 @@ def test_few_open_windows_lose_nothing(spark, sf):
 
 def test_level_is_the_least_sum_of_squares():
     rng = np.random.default_rng(5)
-    rule, serial = SumOfSquares(16), [0]
+    rule, serial = SumOfSquares(16, 1000), [0]
 
     def new():
         serial[0] += 1
@@ -81,6 +81,44 @@ def test_level_is_the_least_sum_of_squares():
         rule.place(size, None, new)
 
 
+def test_bounded_rule_against_brute_force():
+    """Items whole where they fit; cut only when no window may be opened and none has room."""
+    rng = np.random.default_rng(6)
+    for most in (1, 2, 5):
+        rule, serial, placed = SumOfSquares(16, most), [0], []
+
+        def new():
+            serial[0] += 1
+            return [serial[0], 0, []]
+
+        for size in rng.integers(1, 16, 300).tolist():
+            ids, at = np.arange(size), 0
+            fills = sorted(w[1] for ws in rule.open.values() for w in ws)
+            assert len(fills) <= most and fills == sorted(h for h in range(17) for _ in range(rule.levels[h]))
+            pieces = []
+            rule.place_cut(ids, lambda a, b: pieces.append((a, b)) or (0, a, ids[a:b], size, False), new)
+            for a, b in pieces:
+                assert a == at
+                at = b
+            assert at == size
+            fits = len(fills) < most or any(h + size <= 16 for h in fills)
+            assert (len(pieces) == 1) == fits
+            if not fits:
+                common = max(fills, key=lambda h: (fills.count(h), h))
+                assert pieces[0] == (0, 16 - common)
+            placed.append(size)
+        left = rule.drain()
+        total = sum(w[1] for w in left)
+        done = finish(left, 16, new)
+        sizes = [sum(len(x[2]) for x in w[2]) for w in done]
+        assert sum(sizes) == total and sum(n == 16 for n in sizes) >= total // 16 and all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_the_rule_places_nearly_all(spark):
+    rows = op2_packing(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.length for r in rows if r.recut) < 0.01 * sum(r.length for r in rows)
+
+
 def test_memo_equals_tokenizer(spark):
     texts = ["", " a", "a ", "a  b", "a\n\nb", "it's 2024's 12345 don't", "x<|endoftext|> y <|startoftext|>", "Ünïcödé ÇA İI ǅ", "日本 語", "éa", "a\x1cb c", "a\u0085b", "ΣΑΣ ΟΔΟΣ.", "a\tb c\rd", "\x01 a", "tab \t x", "😀 ok", "ﬁ ½ ²", "Éa, ÉA. straße! ǆ? ªb, ǅ. İ, ı. DON'T. it's, 'S. 's, 'T 'll. a'LL,"]
     texts += [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
