@@ -58,10 +58,37 @@ def test_versions_appends_and_conflicts(spark):
     assert store.version() == 3 and store.manifest().count() < 20
     back = store.read().select("row.*")
     assert back.columns == docs.columns and back.exceptAll(docs).count() == 0 and back.count() == 4000
-    with pytest.raises(RuntimeError):
-        store.commit(store.manifest(), 3)
     store.compact(base=500, target=20_000)
     assert store.read().count() == 4000
+    assert store.read(2).count() == 4000 and store.read(1).count() == 2000  # old versions stay readable
+    assert store.vacuum(keep_versions=1) == [] and store.read(2).count() == 4000  # too young
+    assert 1 in store.vacuum(keep_versions=1, older_than=0) and store.versions() == [store.version()]
+    assert store.read().count() == 4000
+
+
+def test_of_two_writers_one_commits(spark):
+    """Both saw the same newest version; the second is refused, its rows aren't live, and nothing is lost."""
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    root = table_path(spark, "race")
+    one, two = Store(spark, root), Store(spark, root)
+    two.version = lambda: 0
+    one.append(docs.where("doc_id < 50"), F.col("doc_id"), text_bytes())
+    before = sorted(r.row.doc_id for r in one.read().collect())
+    with pytest.raises(RuntimeError, match="version 1"):
+        two.commit(two.spark.createDataFrame([(7, 7, 1, 1, 1)], Store.SCHEMA), 1)
+    assert sorted(r.row.doc_id for r in one.read().collect()) == before == list(range(50))
+    assert one.versions() == [1]
+
+
+def test_one_file_an_arrival_and_large_ones_spread(spark):
+    """Ids dealt by hash over many partitions: still one file a small shard; a hot arrival has several."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 100)").alias("text")).repartition(32, "doc_id")
+    store = Store(spark, table_path(spark, "files"), task_bytes=20_000)
+    store.append(docs, F.when(F.col("doc_id") >= 500, F.floor(F.col("doc_id") / 50)), text_bytes())
+    files = [f.rsplit("/", 2)[1] for f in spark.read.parquet(f"{store.root}/data/version=1").inputFiles()]
+    assert {n: files.count(n) for n in set(files) if n != "shard=-1"} == {f"shard={i}": 1 for i in range(10, 20)}
+    assert files.count("shard=-1") > 1
+    assert store.manifest().where("first = -1").first().docs == 500
 
 
 def test_awkward_rows(spark):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import count_rows, drop_path, table, table_path, write_cut
+from .common import FREE_SHUFFLES, count_rows, drop_cuts, drop_path, setting, table, table_path, write_cut
 
 #: Arrivals fall into lanes of this many; a lane's shards are planned together, so planning runs in parallel.
 LANE = 65_536
@@ -58,17 +60,22 @@ def compact_plan(shards: DataFrame, *, base: int, target: int, fan_in: int = 4)
 
 
 class Store:
-    """Shards under ``root``: ``data/v=V/shard=F`` holds the rows (as ``row``, with their ``arrival``) of the
-    shard that version V wrote and whose first arrival is F; ``manifest/vV`` has one JSON row per live shard.
-    Files never change. What is live is what the newest manifest names, and a manifest appears whole, by one
-    rename, which fails if another writer took the number first. A writer that dies before that leaves the
-    old version in force. (On a store whose rename isn't atomic, put a committer with conditional writes here.)
+    """Shards under ``root``: ``data/version=V/shard=F`` holds the rows (as ``row``, with their ``arrival``) of the
+    shard that version V wrote and whose first arrival is F; ``manifest/rows-*`` has one JSON row per live shard,
+    and the small file ``manifest/vV`` names the rows of version V. Files never change. What is live is what the
+    newest version names. A version appears whole, when its file takes its name: that rename refuses a name that
+    is taken (``FileContext.rename`` without overwriting), so of two writers one fails. A writer that dies before
+    that leaves the old version in force. (On a store without such a rename, put a conditional write here.)
+
+    Neither rows nor paths of shards come to the driver: what is live is found by a join on the partition columns.
+    Old versions stay readable until ``vacuum``.
     """
 
-    SCHEMA = "first long, last long, bytes long, docs long, path string"
+    SCHEMA = "first long, last long, bytes long, docs long, version int"
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, task_bytes: int = 1 << 25) -> None:
+        """``task_bytes``: bytes of rows that one task of an append is to write."""
+        self.spark, self.root, self.task_bytes = spark, root.rstrip("/"), task_bytes
 
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,71 +83,133 @@ class Store:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        """The newest version; 0 before the first commit."""
+    def versions(self) -> list[int]:
+        """All versions that can be read, ascending."""
         folder = self._path(f"{self.root}/manifest")
         if not self._fs().exists(folder):
-            return 0
+            return []
         names = [s.getPath().getName() for s in self._fs().listStatus(folder)]
-        return max([int(x[1:]) for x in names if x.startswith("v")], default=0)
+        return sorted(int(x[1:]) for x in names if x.startswith("v"))
+
+    def version(self) -> int:
+        """The newest version; 0 before the first commit."""
+        return max(self.versions(), default=0)
+
+    def _rows_of(self, version: int) -> str:
+        (row,) = self.spark.read.text(f"{self.root}/manifest/v{version:08d}", wholetext=True).collect()
+        return f"{self.root}/manifest/{row.value}"
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).json(f"{self.root}/manifest/v{version:08d}")
+        return self.spark.read.schema(self.SCHEMA).json(self._rows_of(version))
 
     def commit(self, shards: DataFrame, version: int) -> None:
-        staged, final = f"{self.root}/manifest/_staged-{uuid.uuid4().hex}", self._path(f"{self.root}/manifest/v{version:08d}")
-        shards.select("first", "last", "bytes", "docs", "path").write.json(staged)
-        if self._fs().exists(final) or not self._fs().rename(self._path(staged), final):
-            raise RuntimeError(f"another writer committed version {version} of the manifest")
+        """Makes ``shards`` the live ones of ``version``, or raises if another writer has."""
+        mark = uuid.uuid4().hex
+        with setting(self.spark, FREE_SHUFFLES, "true"):
+            shards.select("first", "last", "bytes", "docs", "version").write.json(f"{self.root}/manifest/rows-{mark}")
+        staged, fs = self._path(f"{self.root}/manifest/_staged-{mark}"), self._fs()
+        out = fs.create(staged, False)
+        out.write(f"rows-{mark}".encode())
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        kinds = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        kinds[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        try:
+            context.rename(fs.makeQualified(staged), fs.makeQualified(self._path(f"{self.root}/manifest/v{version:08d}")), kinds)
+        except Py4JJavaError as e:
+            fs.delete(staged, False)
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise RuntimeError(f"another writer committed version {version} of the manifest") from None
+
+    def _write(self, rows: DataFrame, version: int) -> None:
+        with setting(self.spark, FREE_SHUFFLES, "true"):
+            rows.write.partitionBy("shard").option("compression", "zstd").parquet(f"{self.root}/data/version={version}")
 
     def append(self, rows: DataFrame, arrival: Column, size: Column) -> None:
-        """Writes the rows of each arrival number (null: -1) as a small shard, straight from where they are
-        read, without a shuffle; then commits. ``size``: bytes of a row. Arrival numbers are new ones."""
+        """Writes the rows of each arrival number (null: -1) as a small shard; then commits. ``size``: bytes of a
+        row. Arrival numbers are new ones.
+
+        Rows go to tasks of about ``task_bytes`` by the hash of their arrival, so each arrival is one file; an
+        arrival of more bytes than that (there are at most total / task_bytes of them, which bounds what is
+        broadcast) is spread over as many tasks as it needs, by where its rows came from."""
         version = self.version()
-        path = f"{self.root}/data/v={version + 1}"
         number = F.coalesce(arrival.cast("long"), F.lit(-1))
         held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), number.alias("arrival"), size.cast("long").alias("bytes"), number.alias("shard"))
-        held.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-        written = self.spark.read.schema("bytes long, shard long").parquet(path)
-        new = written.groupBy(F.col("shard").alias("first")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
-        new = new.select("first", F.col("first").alias("last"), "bytes", "docs", F.concat(F.lit(f"{path}/shard="), F.col("first").cast("string")).alias("path"))
-        self.commit(self.manifest(version).unionByName(new), version + 1)
-
-    def _open(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths)
-
-    def compact(self, *, base: int, target: int, fan_in: int = 4, broadcast_rows: int = 100_000, vacuum: bool = True) -> None:
-        """Plans on the manifest, rewrites each run's rows into one shard, commits, and deletes the shards
-        that are no longer live. Data move once, however many tiers a run climbs. The list of shards is the
-        driver's only data; it is broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond."""
+        sizes = write_cut(held.groupBy("shard").agg(F.sum("bytes").alias("total")), "arrivals")
+        tasks = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // self.task_bytes))
+        large = sizes.where(F.col("total") > self.task_bytes).select("shard", F.expr(f"total div {self.task_bytes} + 1").alias("parts"))
+        dealt = held.join(F.broadcast(large), "shard", "left")
+        part = F.pmod(F.spark_partition_id(), F.coalesce("parts", F.lit(1)))
+        dealt = dealt.withColumn("task", F.pmod(F.xxhash64("shard") + part, F.lit(tasks)).cast("int"))
+        self._write(dealt.repartitionById(tasks, "task").select("row", "arrival", "bytes", "shard"), version + 1)
+        new = self._written(version + 1).groupBy(F.col("shard").alias("first")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
+        self.commit(self.manifest(version).unionByName(new.select("first", F.col("first").alias("last"), "bytes", "docs", F.lit(version + 1).alias("version"))), version + 1)
+        drop_cuts(sizes)
+
+    def _written(self, version: int) -> DataFrame:
+        """``(bytes, shard)`` of every row that a version wrote; a version without rows has none."""
+        path = f"{self.root}/data/version={version}"
+        return self.spark.read.schema("bytes long, shard long").parquet(path)
+
+    def _open(self, live: DataFrame, broadcast_rows: int) -> DataFrame | None:
+        """The rows of the shards ``live(version, shard, ...)`` with its columns; None if there are none."""
+        versions = sorted(r.version for r in live.select("version").distinct().collect())  # as many as commits
+        if not versions:
+            return None
+        paths = [f"{self.root}/data/version={v}" for v in versions]
+        held = self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths)
+        held = held.select("row", "arrival", "bytes", F.col("version").cast("int").alias("version"), F.col("shard").cast("long").alias("shard"))
+        return held.join(F.broadcast(live) if count_rows(live) <= broadcast_rows else live, ["version", "shard"])
+
+    def compact(self, *, base: int, target: int, fan_in: int = 4, broadcast_rows: int = 100_000) -> None:
+        """Plans on the manifest, rewrites each run's rows into one shard, and commits. Data move once, however
+        many tiers a run climbs, and a run, which is of about the target size, is one task's work and one file.
+        The list of shards is broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond."""
         version = self.version()
         old = self.manifest(version)
         plan = write_cut(compact_plan(old.select("first", "last", "bytes", "docs", F.array("first").alias("members")), base=base, target=target, fan_in=fan_in), "compaction")
-        runs = plan.where("merges > 0")
-        if not (n := count_rows(runs)):
-            return
-        parts = write_cut(runs.select(F.col("first").alias("into"), F.explode("members").alias("first")), "compaction-parts")
-        paths = [r.path for r in old.join(parts, "first").select("path").collect()]
-        into = parts.select(F.col("first").alias("shard"), "into")
-        held = self._open(paths).select("row", "arrival", "bytes", F.col("shard").cast("long").alias("shard"))
-        moved = held.join(F.broadcast(into) if count_rows(into) <= broadcast_rows else into, "shard")
-        path = f"{self.root}/data/v={version + 1}"
-        moved.select("row", "arrival", "bytes", F.col("into").alias("shard")).repartition(n, "shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
-        fresh = runs.select("first", "last", "bytes", "docs", F.concat(F.lit(f"{path}/shard="), F.col("first").cast("string")).alias("path"))
-        stay = old.join(parts.select("first"), "first", "left_anti").select(fresh.columns)
-        self.commit(fresh.unionByName(stay), version + 1)
-        if vacuum:
-            for p in paths:
-                drop_path(self.spark, p)
-
-    def read(self) -> DataFrame | None:
-        """The live rows: ``row`` (as appended), ``arrival``, ``bytes``, and ``shard``, the first arrival of
-        their shard; None if nothing is live."""
-        paths = [r.path for r in self.manifest().select("path").collect()]
-        return self._open(paths).select("row", "arrival", "bytes", F.col("shard").cast("long").alias("shard")) if paths else None
+        # one row per run of the target size: a window over them is small
+        runs = write_cut(plan.where("merges > 0").withColumn("task", (F.row_number().over(Window.orderBy("first")) - 1).cast("int")), "compaction-runs")
+        if n := count_rows(runs):
+            parts = runs.select("task", F.col("first").alias("into"), F.explode("members").alias("first"))
+            parts = write_cut(parts.join(old.select("first", "version"), "first").select("version", F.col("first").alias("shard"), "into", "task"), "compaction-parts")
+            moved = self._open(parts, broadcast_rows)
+            self._write(moved.repartitionById(n, "task").select("row", "arrival", "bytes", F.col("into").alias("shard")), version + 1)
+            fresh = runs.select("first", "last", "bytes", "docs", F.lit(version + 1).alias("version"))
+            stay = old.join(parts.select(F.col("shard").alias("first")), "first", "left_anti").select(fresh.columns)
+            self.commit(fresh.unionByName(stay), version + 1)
+            drop_cuts(parts)
+        drop_cuts(plan, runs)
+
+    def vacuum(self, *, keep_versions: int = 2, older_than: float = 86_400.0) -> list[int]:
+        """Deletes what only versions before the last ``keep_versions`` name, if these are ``older_than`` seconds
+        old: their manifests, and the data folders of versions of which no kept manifest names a shard, each by
+        one call. Readers of kept versions are never hurt. Returns the versions whose data went."""
+        fs, now, known = self._fs(), time.time() * 1000, self.versions()
+        at = {v: self._path(f"{self.root}/manifest/v{v:08d}") for v in known}
+        old = [v for v in known[: max(0, len(known) - max(1, keep_versions))] if fs.getFileStatus(at[v]).getModificationTime() <= now - older_than * 1000]
+        used = {r.version for v in known if v not in old for r in self.manifest(v).select("version").distinct().collect()}
+        gone = []
+        for v in old:
+            rows = self._rows_of(v)
+            fs.delete(at[v], False)
+            drop_path(self.spark, rows)
+        for v in range(1, max(old, default=0) + 1):
+            if v not in used and fs.exists(self._path(f"{self.root}/data/version={v}")):
+                drop_path(self.spark, f"{self.root}/data/version={v}")
+                gone.append(v)
+        return gone
+
+    def read(self, version: int | None = None, broadcast_rows: int = 100_000) -> DataFrame | None:
+        """The live rows of a version: ``row`` (as appended), ``arrival``, ``bytes``, and ``shard``, the first
+        arrival of their shard; None if nothing is live."""
+        held = self._open(self.manifest(version).select("version", F.col("first").alias("shard")), broadcast_rows)
+        return None if held is None else held.drop("version")
 
 
 ARRIVAL_DOCS, BASE, TARGET, FAN_IN = 256, 1 << 18, 1 << 25, 4
@@ -152,8 +221,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compacted(docs: DataFrame) -> DataFrame:
-    """Null texts have no bytes; documents with a null id arrive as number -1; rows that repeat come back as
-    often; an empty table gives no rows; clashing column names are kept apart inside ``row``."""
+    """Where each document lies after one append and one compaction. Null texts have no bytes; documents with a
+    null id arrive as number -1, ids below 0 by their own numbers; rows that repeat come back as often; a very
+    long text makes its shard large, and a shard of the target size or more stays as it is; shards of one size
+    stand in order of arrival; an empty table gives no rows; clashing column names are kept apart inside ``row``."""
     spark = docs.sparkSession
     store = Store(spark, table_path(spark, "shards"))
     store.append(docs, F.floor(F.col("doc_id") / ARRIVAL_DOCS), text_bytes())
