@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from cases import awkward, empty
@@ -65,6 +66,22 @@ def test_likeness():
     assert ctph.likeness(mark(text), mark("x")) == 0.0 and ctph.likeness(mark(""), mark("abc")) == 0.0
 
 
+def slow_likeness(x, y):
+    """By dynamic programming, from the signatures' rules alone."""
+    if x == y:
+        return 1.0
+    (p, *a), (q, *b) = x.split(":"), y.split(":")
+    sign = {(int(p) << i, 0): s for i, s in enumerate(a)} | {(int(q) << i, 1): s for i, s in enumerate(b)}
+    best = 0.0
+    for size in {size for size, _ in sign}:
+        if (size, 0) in sign and (size, 1) in sign:
+            s, t = (re.sub(r"(.)\1{3,}", r"\1\1\1", sign[size, side]) for side in (0, 1))
+            k = max(1, min(4, min(len(s), len(t)) // 3))
+            if s and t and any(s[i : i + k] in t for i in range(len(s) - k + 1)):
+                best = max(best, 1 - slow_distance(s, t) / max(len(s), len(t)))
+    return best
+
+
 def expected(docs):
     order = sorted(docs, key=lambda d: -d[0])
     out = {}
@@ -72,7 +89,7 @@ def expected(docs):
         text, after = text or "", after or ""
         changed = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
         a, b, c = ctph.fingerprint(text), ctph.fingerprint(changed), ctph.fingerprint(after)
-        out[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, ctph.likeness(a, b), ctph.likeness(a, c))
+        out[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, slow_likeness(a, b), slow_likeness(a, c))
     return out
 
 
@@ -97,3 +114,16 @@ def test_awkward_rows(spark, bucket_rows):
     alone = docs.where("doc_id = 6")
     assert [(r.next_id, r.near_next) for r in ctph.neighbours(alone).collect()] == [(6, 1.0)]
     assert ctph.neighbours(empty(spark)).collect() == []
+
+
+def test_bounds_in_two_steps(spark, monkeypatch):
+    from versara.llm import common
+
+    ids = spark.createDataFrame([(int(i),) for i in [*range(0, 4000, 2), *[77] * 600]] + [(None,)], "doc_id long").repartition(3)
+    for coarse in (1024, 4):
+        monkeypatch.setattr(common, "COARSE", coarse)
+        bounds, weight = common.id_bounds(ids, 100)
+        assert bounds[-1] == 3998 and weight[list(bounds).index(77)] >= 4
+        every = sorted(r.doc_id for r in ids.where("doc_id is not null and doc_id <> 77").collect())
+        sizes = [sum(a < i <= b for i in every) for a, b in zip([-1, *bounds], bounds)]
+        assert 15 <= len(bounds) and max(sizes) <= 400

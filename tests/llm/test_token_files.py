@@ -57,3 +57,24 @@ def test_awkward_rows(spark):
     path = table_path(spark, "t")
     token_files.write(empty(spark), path, tokenizer_path(WORDS), end_id=2)
     assert token_files.read(spark, path).collect() == []
+
+
+def test_extreme_and_repeated_ids(spark):
+    """The least long is an id like any other; an id, or null, that fills several shards is dealt over them."""
+    least = -(1 << 63)
+    rows = [(None, f"null {i}") for i in range(60)] + [(least, "least"), (5, "five")] + [(9, f"nine {i}") for i in range(60)] + [(i, f"t {i}") for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = table_path(spark, "t")
+    dictionary = token_files.write(docs, path, tokenizer_path(WORDS), end_id=2, shard_docs=20)
+    got = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 60 + sorted(i for i, _ in rows if i is not None)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:])) and got[0].start == 0
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert max(r.n_docs for r in index) < 60 and sum(r.n_docs for r in index) == len(rows)
+    want = {i: np.array([*ids, 2]) for (i, _), ids in zip(rows, whole([t for _, t in rows], WORDS))}
+    for i in (least, 5, 59):
+        (ids,) = token_files.lookup(spark, path, i)
+        assert ids.tolist() == want[i].tolist()
+    assert len(token_files.lookup(spark, path, 9)) == 60 and token_files.lookup(spark, path, 6) == []
+    blocks = [token_files.Block(bytes(r.data), dictionary) for r in spark.read.parquet(f"{path}/blocks").collect()]
+    assert sum(len(b.find(None)) for b in blocks) == 60 and sum(len(b.find(least)) for b in blocks) == 1

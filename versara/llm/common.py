@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,15 +142,37 @@ def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
-#: Stands for a null id where numbers go to numpy; no valid id has this value.
-NO_ID = -(1 << 63)
-
-
-def id_bounds(rows: DataFrame, bucket_rows: int, most: int) -> np.ndarray:
-    """Greatest ids of consecutive id ranges of about ``bucket_rows`` rows, ascending, at most ``most``; the
-    last is the greatest id of all. Reads ids only; each bound is an id that occurs. No ids: empty."""
-    n = count_rows(rows)
-    parts = min(most, max(1, n // bucket_rows))
-    cuts = [(i + 1) / parts for i in range(parts)]
-    found = rows.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * parts)).alias("q"), F.max("doc_id").alias("m")).first()
-    return np.array(sorted({*(found.q or []), *([] if found.m is None else [found.m])}), dtype=np.int64)
+#: Quantiles that one sketch is asked for; more are found range by range.
+COARSE = 1024
+
+
+def id_bounds(rows: DataFrame, bucket_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest ids of consecutive id ranges of about ``bucket_rows`` rows, ascending, and of how many such
+    ranges each of them alone is worth (over 1 for an id that is repeated so often). The last is the greatest id
+    of all; each bound is an id that occurs. Reads ids only. Beyond ``COARSE`` ranges, coarse ones are found first
+    and cut apart in parallel, so no sketch grows with the table; the bounds that reach the driver take 8 bytes
+    for ``bucket_rows`` rows. No ids: empty."""
+    known = rows.where("doc_id is not null").select("doc_id")
+    parts = max(1, -(-count_rows(known) // bucket_rows))
+
+    def cuts(n: int) -> list[float]:
+        return [(i + 1) / n for i in range(n)]
+
+    coarse = min(parts, COARSE)
+    found = known.agg(F.percentile_approx("doc_id", cuts(coarse), 20 * COARSE).alias("q"), F.max("doc_id").alias("m")).first()
+    if found.m is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    every = [*found.q, found.m] if found.q[-1] != found.m else list(found.q)
+    if parts > COARSE:
+        edges, fine = np.array(sorted(set(every)), np.int64), -(-parts // coarse)
+
+        @F.pandas_udf("int")
+        def range_of(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(edges, ids.to_numpy()))
+
+        cut = known.groupBy(range_of("doc_id").alias("r")).agg(F.percentile_approx("doc_id", cuts(fine), 20 * COARSE).alias("q"), F.max("doc_id").alias("m"), F.count(F.lit(1)).alias("n"))
+        every = []
+        for r in cut.collect():  # one row per coarse range
+            every += [*r.q, r.m] if r.q[-1] != r.m else r.q
+    values, counts = np.unique(np.array(every, np.int64), return_counts=True)
+    return values, counts

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_bounds, ship, small_batches, table
+from .common import id_bounds, ship, small_batches, table
 
 WINDOW = 7
 SMALLEST = 3
@@ -164,36 +164,39 @@ def _walk(batches, with_text: bool):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
 
 
-def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4096, most_buckets: int = 100_000, with_text: bool = True) -> DataFrame:
+def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4096, with_text: bool = True) -> DataFrame:
     """Each document in descending order of its id beside the next one (the last beside the first):
     doc_id, n_chars, next_id, edited, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. Without ``with_text``, edited is null, which spares moving it.
 
     Texts are shuffled once: quantiles of the ids (ids only are read for them) cut the order into buckets of
     about ``bucket_rows`` rows; the greatest id of each bucket goes to the bucket above it too, as a guest,
-    so that no row needs another bucket. Only these quantiles reach the driver, ``most_buckets`` at most.
+    so that no row needs another bucket. Each bucket is a task of its own. Only these quantiles reach the driver,
+    8 bytes for ``bucket_rows`` rows.
 
     Null text is taken as empty. Rows that repeat an id stand in the order of their texts. Null ids come
-    last. A single row is its own next. Other columns are ignored; an empty table gives no rows.
+    last. A single row is its own next. Very long texts are hashed whole. Ids are meant to be unique: rows that
+    share one, or have none, stand in one bucket, which sorts by spilling and is walked as a stream, so it takes
+    time but no memory. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bounds = id_bounds(rows, bucket_rows, most_buckets)
+    bounds, _ = id_bounds(rows, bucket_rows)
 
     @F.pandas_udf("array<struct<bucket:int,guest:boolean>>")
-    def places(ids: pd.Series) -> pd.Series:
+    def places(ids: pd.Series, known: pd.Series) -> pd.Series:
         out = []
-        for i in ids:
-            if i == NO_ID or len(bounds) < 2:
+        for i, named in zip(ids, known):
+            if not named or len(bounds) < 2:
                 out.append([(0, False)])
                 continue
             k = int(np.searchsorted(bounds, int(i)))
             out.append([(k, False)] + ([((k + 1) % len(bounds), True)] if bounds[k] == int(i) else []))
         return pd.Series(out)
 
-    placed = rows.withColumn("at", F.explode(places(F.coalesce("doc_id", F.lit(NO_ID))))).select("at.bucket", "at.guest", "doc_id", "text")
-    dealt = placed.repartition(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    placed = rows.withColumn("at", F.explode(places(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNotNull()))).select("at.bucket", "at.guest", "doc_id", "text")
+    dealt = placed.repartitionById(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
     schema = "doc_id long, n_chars long, next_id long, edited string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(lambda it: _walk(it, with_text), schema)
 
