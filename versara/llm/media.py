@@ -220,7 +220,8 @@ def _read(batches):
 
 def to_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, n_bytes, media)``: every text as a physical stream. Null text is taken as empty, and empty
-    text as 64 zeros. Repeated rows come back as often; other columns are ignored. ``options`` are those of
+    text as 64 zeros; very long texts span many pages of the stream. Null ids stay null. Repeated rows come back as
+    often; other columns are ignored, whatever their names; an empty table gives no rows. ``options`` are those of
     write_payload."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

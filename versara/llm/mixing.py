@@ -74,6 +74,11 @@ def plan(docs: DataFrame, levels: Sequence[Column], weights: Sequence[dict[str,
     Texts are read once, for their token counts. A leaf's documents fall into as many hash ranges as the
     root of their number; running sums of the ranges find the one range in which the budget ends, and only
     its documents are put in order. So no leaf, however large, is sorted by one task.
+
+    Null texts have no tokens, null levels are leaves of their own, null ids are one document in the order.
+    Rows that repeat an id count each, and fall into the same place. Very long texts are counted whole. Leaves of
+    the same capacity by weight stand in alphabetical order; documents of the same key can't be told apart. Other
+    columns are ignored. An empty table gives no leaves.
     """
     keys = [f"l{i}" for i in range(len(levels))]
     thin = write_cut(docs.select("doc_id", *_keyed(levels), words().alias("n")), "mix-documents")
@@ -102,7 +107,8 @@ def select(docs: DataFrame, p: Plan) -> DataFrame:
 
     Each row decides by itself from its leaf's row of the plan: no text is shuffled unless the plan is too
     large to broadcast. Documents without tokens come along in whole epochs and inside a prefix. Null levels
-    are leaves of their own. Rows that repeat an id stand or fall together. An empty table gives no rows.
+    are leaves of their own. Rows that repeat an id stand or fall together. Very long texts are taken whole, as
+    ``take_tokens`` says how much of one counts. An empty table gives no rows.
     """
     keys = [f"l{i}" for i in range(len(p.levels))]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
