@@ -58,7 +58,7 @@ def test_dedup_stage_against_brute_force(spark, sf):
     assert {r.doc_id: r.component_id for r in shingles.alike(df).collect()} == want
     kept = [r.doc_id for r in corpus_pipeline.dedup_stage(spark, df, sf).collect()]
     assert sorted(kept) == sorted(set(want.values()))
-    few = shingles.Likeness(sampled=50, often=2, most=7)
+    few = shingles.Likeness(one_in=4, often=2, most=7)
     assert {r.doc_id: r.component_id for r in shingles.alike(df, few).collect()} == want
 
 
