@@ -29,6 +29,12 @@ def test_against_sql(spark, sf, duck, name):
     assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(duck.execute(queries.ORACLE_SQL[name]).df())
 
 
+def test_psalms_verse_by_verse(duck):
+    """The counts of the whole sweep, from SQL that walks the parts and knows nothing of the intervals."""
+    got = duck.execute(queries.ORACLE_SQL["greek_numbering_sweep"]).df().iloc[0]
+    assert (got.refused, got.verses, got.titles, got.targets) == (14, 2444, 68, 2506)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc", "n_words", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -37,10 +37,10 @@ def gate_full_outer(spark, sf_dir):
 
 
 def gate_set_equality(spark, sf_dir):
-    """Regions on one side only; none, if both tables name the same."""
-    a = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("key")).distinct().withColumn("a", F.lit(1))
-    b = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("key")).distinct().withColumn("b", F.lit(1))
-    return a.join(b, "key", "full").where("a is null or b is null or key < 2").select("key", F.col("a").isNotNull().alias("in_region"), F.col("b").isNotNull().alias("in_nation"))
+    """Documents that only one of two tables names."""
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("key")).distinct().withColumn("a", F.lit(1))
+    b = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("key")).distinct().withColumn("b", F.lit(1))
+    return a.join(b, "key", "full").where("a is null or b is null").select("key", F.col("a").isNotNull().alias("in_documents"), F.col("b").isNotNull().alias("in_labels"))
 
 
 def gate_brackets_markup(spark, sf_dir):
@@ -133,7 +133,7 @@ ORACLE_SQL = {
     "gate_gaps": "with m as (select l_orderkey, unnest(range(1, max(l_linenumber) + 1))::int as line from lineitem group by l_orderkey) select * from m where not exists (select 1 from lineitem l where l.l_orderkey = m.l_orderkey and l.l_linenumber = m.line)",
     "gate_anti_join": "select doc_id, lang from documents where doc_id not in (select doc_id from labels)",
     "gate_full_outer": "select case when lines is null then 'missing' when o_orderkey is null then 'unexpected' else 'both' end as state, count(*) as orders, coalesce(sum(lines), 0)::bigint as lines from orders full join (select l_orderkey, count(*) as lines from lineitem group by 1) on o_orderkey = l_orderkey group by 1",
-    "gate_set_equality": "select coalesce(a.k, b.k)::bigint as key, a.k is not null as in_region, b.k is not null as in_nation from (select distinct r_regionkey as k from region) a full join (select distinct n_regionkey as k from nation) b on a.k = b.k where a.k is null or b.k is null or coalesce(a.k, b.k) < 2",
+    "gate_set_equality": "select coalesce(a.k, b.k)::bigint as key, a.k is not null as in_documents, b.k is not null as in_labels from (select distinct doc_id as k from documents) a full join (select distinct doc_id as k from labels) b on a.k = b.k where a.k is null or b.k is null",
     "gate_brackets_markup": "select page_id, length(replace(html, '[', '')) <> length(replace(html, ']', '')) as unbalanced, regexp_matches(html, '[<>]') as markup, length(html) - length(replace(html, '<', '')) as opens from pages",
     "ledger_conservation": "select page_id, coalesce(list_sum(list_transform(regexp_extract_all(html, '<[^>]*>'), lambda x: length(x))), 0)::bigint as tags, length(regexp_replace(html, '<[^>]*>', '', 'g')) as text, length(html) as whole, true as balanced from pages",
     "html_tag_inventory": "select lower(t) as tag, count(*) as n from (select unnest(regexp_extract_all(html, '</?([a-zA-Z][a-zA-Z0-9]*)', 1)) as t from pages) group by 1",

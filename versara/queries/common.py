@@ -16,7 +16,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as an edition of books (a thousand conversations each), chapters and verses."""
+    """Conversations as an edition of books (fifty conversations each), chapters and verses."""
     c = table(spark, sf_dir, "conversations")
     book = F.format_string("B%05d", F.expr("conv_id div 50"))
     return c.select(F.lit("talk").alias("edition"), book.alias("book"), (F.col("conv_id") % 50 + 1).cast("int").alias("chapter"), (F.col("turn") + 1).cast("int").alias("verse"), "text", "role")

@@ -58,9 +58,10 @@ def chapter_scan(spark, sf_dir):
 
 
 def contiguity(spark, sf_dir):
-    """Turns that don't follow the one before."""
-    line = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") - F.lag("turn", 1, -1).over(line)).alias("step")).where("step <> 1 or turn > 6")
+    """Orders of a customer whose key doesn't follow the one before."""
+    line = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    step = F.col("o_orderkey") - F.lag("o_orderkey").over(line)
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", step.cast("long").alias("step")).where("step <> 1")
 
 
 def notes_left_join(spark, sf_dir):
@@ -136,13 +137,28 @@ def _values(rows, names: str) -> str:
     return f"(values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) as t({names})"
 
 
-_IV = f"iv as (select * from {_values([r[:6] for r in numbering.intervals()], 'greek, lo, hi, kind, psalm, first')})"
+def _walk() -> str:
+    """Greek psalms verse by verse, in SQL from the fixed values alone: every part's title lines, then its verses,
+    numbered through."""
+    seed = numbering.seed
+    listed = lambda text: ", ".join(text.split())
+    regular = " union all ".join(f"select unnest(range({lo}, {hi + 1})) as greek, {add} as shift" for lo, hi, add in seed.REGULAR)
+    odd = [(g, i, *part, None) if len(part) == 4 else (g, i, None, None, part[0], 0, part[1]) for g, parts in seed.IRREGULAR.items() for i, part in enumerate(parts)]
+    return f"""
+english as (select unnest(range(1, 151))::int as psalm, unnest([{listed(seed.ENGLISH_VERSES)}]) as n),
+hebrew as (select psalm, n, (psalm in ({listed(seed.TITLED)}))::int as title from english),
+parts as (
+  select greek, 0 as part, greek + shift as psalm, 1 as first, null as n, case when greek in ({listed(seed.NO_TITLE_VERSE)}) then 0 when greek in ({listed(seed.TWO_TITLE_VERSES)}) then 2 end as titles, null as reason from ({regular}) where greek not in ({', '.join(map(str, seed.IRREGULAR))})
+  union all select * from {_values(odd, "greek, part, psalm, first, n, titles, reason")}),
+known as (select greek, part, p.psalm, first, coalesce(p.n, h.n - first + 1) as n, coalesce(titles, title) as titles, reason from parts p left join hebrew h on h.psalm = p.psalm),
+lines as (select *, unnest(range(0, (n + titles)::bigint)) as o from known),
+walk as (select greek::int as greek, row_number() over (partition by greek order by part, o)::int as greek_verse, case when reason is not null then 'refused' when o < titles then 'title' else 'verse' end as kind, psalm::int as psalm, case when reason is null and o >= titles then first + o - titles end::int as verse from lines)"""
+
+
 _PLACES = lambda of, names: ", ".join(f"max(case when k = '{n}' then pos end)::int as {n}" for n in names)
 _TRAD = _values([(k, i + 1, b) for k, ids in canon.TRADITIONS.items() for i, b in enumerate(ids)], "k, pos, book")
 _EDN = _values([(k, i + 1, b) for k, ids in canon.EDITION_ORDER.items() for i, b in enumerate(ids)], "k, pos, book")
 _BOOKS = _values([(r[0], r[6]) for r in canon.BOOK_ROWS], "book, is_deuterocanon")
-_ENGLISH = _values([(i + 1, n, i + 1 in numbering.titled()) for i, n in enumerate(numbering.english_verses())], "psalm, n, titled")
-_TO_GREEK = "case " + " ".join(f"when psalm between {lo} and {hi} then {fixed or f'psalm + {add}'}" for lo, hi, fixed, add in numbering.seed.TO_GREEK) + " end"
 _C = f"with {SQL_CHAPTERS}"
 ORACLE_SQL = {
     "versification": f"{_C} select edition, book, chapter, n_verses, pos, book_start from chapters",
@@ -153,14 +169,14 @@ ORACLE_SQL = {
     "passage_ranges": f"{_C}, seg as (select r::bigint as request, (x.s)::int as segment, r * 40 + x.a as first, r * 40 + x.b as last from range(3) q(r), (values (1, 5, 25), (2, 20, 23)) x(s, a, b)) select request, segment, book, chapter, verse, sequence::bigint as sequence from seg join numbered on sequence between first and last",
     "verse_point_lookup": f"select book, chapter, verse, text from ({SQL_VERSES}) where book = 'B00000' and chapter = 3 and verse = 2",
     "chapter_scan": f"select verse, role, text from ({SQL_VERSES}) where book = 'B00001' and chapter = 4",
-    "contiguity": "select * from (select conv_id, turn, turn - lag(turn, 1, -1) over (partition by conv_id order by turn) as step from conversations) where step <> 1 or turn > 6",
+    "contiguity": "select * from (select o_custkey, o_orderkey, (o_orderkey - lag(o_orderkey) over (partition by o_custkey order by o_orderkey))::bigint as step from orders) where step <> 1",
     "notes_left_join": "select doc_id, lang, n_chars, quality, toxic from documents left join labels using (doc_id)",
     "availability": "select n_name, case when count(s_suppkey) > 0 then 'full' else 'metadata_only' end as availability, count(s_suppkey) as suppliers from nation left join supplier on n_nationkey = s_nationkey group by n_name",
     "canon_positions": f"select b.book, b.is_deuterocanon, {_PLACES(0, canon.TRADITIONS)} from (select * from {_BOOKS}) b left join (select * from {_TRAD}) o on o.book = b.book group by all",
     "edition_order": f"select book, {_PLACES(0, canon.EDITION_ORDER)} from (select * from {_EDN}) group by book",
     "edition_capabilities": "select lang, count(*) as docs, count(l.doc_id) as notes, string_agg(distinct source, ',' order by source) as sources from documents d left join labels l using (doc_id) group by lang",
-    "interval_mapping": f"with {_IV}, c as (select distinct (conv_id % 150 + 1)::int as g, (turn + 1)::int as v from conversations) select g as greek, v as greek_verse, coalesce(kind, 'out_of_range') as kind, psalm::int as psalm, (first + v - lo)::int as verse from c left join iv on g = greek and v between lo and hi",
-    "greek_numbering_sweep": f"with {_IV}, e as (select *, unnest(range(lo, hi + 1)) as v from iv) select count(*) filter (kind = 'refused') as refused, count(*) filter (kind = 'verse') as verses, count(*) filter (kind = 'title') as titles, count(distinct case when kind <> 'refused' then kind || ':' || psalm || ':' || coalesce((first + v - lo)::varchar, '') end) as targets from e",
-    "hebrew_numbering": f"with e as (select * from {_ENGLISH}), h as (select psalm, titled, unnest(range(1, n + titled::int + 1))::int as hebrew from e) select psalm::int as psalm, hebrew, case when titled and hebrew = 1 then 'title' else 'verse' end as kind, case when titled and hebrew = 1 then null else hebrew - titled::int end as verse, ({_TO_GREEK})::int as greek from h",
+    "interval_mapping": f"with {_walk()}, c as (select distinct (conv_id % 150 + 1)::int as greek, (turn + 1)::int as greek_verse from conversations) select greek, greek_verse, coalesce(kind, 'out_of_range') as kind, psalm, verse from c left join walk using (greek, greek_verse)",
+    "greek_numbering_sweep": f"with {_walk()} select count(*) filter (kind = 'refused') as refused, count(*) filter (kind = 'verse') as verses, count(*) filter (kind = 'title') as titles, count(distinct case when kind <> 'refused' then kind || ':' || psalm || ':' || coalesce(verse::varchar, '') end) as targets from walk",
+    "hebrew_numbering": f"with {_walk()}, g as (select psalm, min(greek) as greek from walk where psalm is not null group by psalm), e as (select psalm, title, unnest(range(1, n + title + 1))::int as hebrew from hebrew) select psalm, hebrew, case when hebrew <= title then 'title' else 'verse' end as kind, case when hebrew > title then hebrew - title end as verse, greek from e left join g using (psalm)",
     "cross_edition_compare": "with r as (select lang, source as book, least(n_chars // 1000, 5) + 1 as chapter, count(*) as n from documents where lang in ('en', 'de') group by all), l as (select lang, book, list(n order by chapter) as l, sum(n) as t from r group by all), b as (select x.book, x.l as x, y.l as y, x.t = y.t as same_total from l x join l y using (book) where x.lang = 'en' and y.lang = 'de') select book, x = y as same, same_total, (select min(i) from range(1, greatest(len(x), len(y)) + 1) q(i) where x[i] is distinct from y[i]) as first_difference from b",
 }
