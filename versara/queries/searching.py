@@ -120,28 +120,15 @@ def query_terms_dedupe_cap(spark, sf_dir):
 
 
 def postings_delta_encode(spark, sf_dir):
-    return index.deltas(postings(spark, sf_dir).where("edition = 'fr'")).select("token", F.col("pos").cast("long").alias("pos"), "delta")
-
-
-def postings_delta_roundtrip(spark, sf_dir):
-    entries = postings(spark, sf_dir).where("edition = 'fr'")
-    return index.undelta(index.deltas(entries)).select("token", "doc")
-
-
-def postings_base36(spark, sf_dir):
-    return index.lists36(index.deltas(postings(spark, sf_dir).where("edition = 'es'"))).select("token", "segment", "encoded")
-
-
-def postings_delta_encode_all(spark, sf_dir):
     """The lists of every edition, a null one among them."""
     return index.deltas(postings(spark, sf_dir)).select("edition", "token", F.col("pos").cast("long").alias("pos"), "delta")
 
 
-def postings_delta_roundtrip_all(spark, sf_dir):
+def postings_delta_roundtrip(spark, sf_dir):
     return index.undelta(index.deltas(postings(spark, sf_dir))).select("edition", "token", "doc")
 
 
-def postings_base36_all(spark, sf_dir):
+def postings_base36(spark, sf_dir):
     return index.lists36(index.deltas(postings(spark, sf_dir))).select("edition", "token", "segment", "encoded")
 
 
@@ -153,7 +140,7 @@ def text_offsets(spark, sf_dir):
 
 
 def highlighted(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(highlight(F.col("text"), "thing that")).alias("marked"), F.regexp_count(highlight(F.col("text"), "thing that"), F.lit("<mark>")).cast("long").alias("marks"))
 
 
@@ -180,16 +167,13 @@ QUERIES = {
     "postings_delta_encode": postings_delta_encode,
     "postings_delta_roundtrip": postings_delta_roundtrip,
     "postings_base36": postings_base36,
-    "postings_delta_encode_all": postings_delta_encode_all,
-    "postings_delta_roundtrip_all": postings_delta_roundtrip_all,
-    "postings_base36_all": postings_base36_all,
     "text_offsets": text_offsets,
     "highlight": highlighted,
 }
 
 _STEMS = "|".join(sorted({t[:4] for t in tokens_of("thing that")}, key=lambda s: (-len(s), s)))
 _MARKED = f"regexp_replace(text, '({_STEMS})', '<mark>\\1</mark>', 'gi')"
-_FR = f"p as (select token, doc from ({SQL_POSTINGS}) where edition = 'fr'), d as (select token, row_number() over (partition by token order by doc) as pos, doc - lag(doc, 1, 0) over (partition by token order by doc) as delta from p)"
+_LISTS = f"p as (select edition, token, doc from ({SQL_POSTINGS})), d as (select edition, token, row_number() over (partition by edition, token order by doc) as pos, doc - lag(doc, 1, 0) over (partition by edition, token order by doc) as delta from p)"
 ORACLE_SQL = {
     "search_and_page": search_sql("en", "the with that", 20, 5),
     "search_absent_term": search_sql("en", "the zzzznotaword", 20, 0, families=True),
@@ -206,8 +190,9 @@ ORACLE_SQL = {
     "families": f"with {_lemma_sql('en')} select lemma, string_agg(token, ' ' order by token) as members from lemmas group by lemma having count(*) >= 2",
     "lemma_closure": f"with {_lemma_sql('en')} select token, lemma from lemmas where token <> lemma",
     "fold_typography": f"select doc_id, md5({SQL_FOLD}) as folded from documents",
-    "postings_delta_encode": f"with {_FR} select token, pos, delta from d",
-    "postings_delta_roundtrip": f"with {_FR} select token, doc from p",
+    "postings_delta_encode": f"with {_LISTS} select edition, token, pos, delta from d",
+    "postings_delta_roundtrip": f"with {_LISTS} select edition, token, doc from p",
+    "postings_base36": f"with {_LISTS} select edition, token, (pos - 1) // {index.BLOCK} as segment, string_agg(lower(to_base(delta, 36)), ' ' order by pos) as encoded from d group by all",
     "text_offsets": "select lang as edition, doc_id as doc, length(text) as n, coalesce(sum(length(text)) over (partition by lang order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from documents",
-    "highlight": f"select doc_id, md5({_MARKED}) as marked, (length({_MARKED}) - length(replace({_MARKED}, '<mark>', ''))) // 6 as marks from documents where lang = 'en'",
+    "highlight": f"select doc_id, md5({_MARKED}) as marked, (length({_MARKED}) - length(replace({_MARKED}, '<mark>', ''))) // 6 as marks from documents",
 }
