@@ -5,6 +5,7 @@ from cases import awkward, empty
 import corpus_pipeline
 from versara.llm import shingles
 from versara.llm.common import table
+from versara.llm.graph import connected_components
 
 
 def shingle_strings(text, k=5):
@@ -86,3 +87,13 @@ def test_a_row_without_id_links_others(spark):
     assert len(shingle_strings(rows[0][1]) & shingle_strings(rows[2][1])) == 60
     got = shingles.alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {1}
+
+
+def test_edges_that_come_later_give_the_same_components(spark):
+    rng = random.Random(8)
+    edge = lambda n: [tuple(rng.sample(range(n), 2)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for first, more in [(edge(120), edge(160)), ([], edge(90)), (edge(90), [])]:
+        found = shingles._joined(connected_components(frame(first)), frame(more))
+        want = connected_components(frame(first + more))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select("node", "root").collect()))
