@@ -5,6 +5,8 @@ text are therefore the ids of its pieces, one after another, and natural text re
 worker keeps the ids of the pieces that it has met, in two generations of at most ``limit`` (when the young
 one is full it becomes the old one, and what is met again moves over; this changes the time and never the
 ids). Texts in which the cheap cut could differ from the tokenizer's own go through the tokenizer whole.
+Texts of plain characters need no memory under the word vocabulary: one call takes all their words through
+the merges.
 """
 
 from __future__ import annotations
@@ -21,6 +23,12 @@ _OPEN: dict[tuple, object] = {}
 _DOUBLE = re.compile(r"\s\s")
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x85]")
 _PLAIN = re.compile("[\x20-\x7e\xa1-įı-ɏ–—‘’“”…€]*")
+_PLAIN_TEXT = re.compile(f"[\t-\r{_PLAIN.pattern[1:-2]}]*")
+#: Characters that are cut off by spaces around them, as long as no two marks meet; an apostrophe may open a piece.
+_DIGITS, _MARKS = "0123456789", "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~–—‘’“”…€"
+_SIMPLE = re.compile(f"[\t-\r {re.escape(_DIGITS + _MARKS)}{''.join(c for c in map(chr, range(0x250)) if c.isalpha() and _PLAIN.fullmatch(c))}]*")
+_RUN = re.compile(f"[{re.escape(_MARKS)}]{{2}}")
+_SPACED = [(c, f" {c} ") for c in _DIGITS + _MARKS] + [(c, " ") for c in "\t\n\v\f\r"]
 
 
 if array.array("I").itemsize != 4 or sys.byteorder != "little":
@@ -48,7 +56,7 @@ class Encoder:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
         kind = (spec["model"].get("end_of_word_suffix"), (spec.get("pre_tokenizer") or {}).get("type"), (spec.get("normalizer") or {}).get("type"))
-        self.piece = None
+        self.piece = self.merge = None
         if kind == (None, "ByteLevel", None):
             self._open_byte_level(spec)
         elif kind == ("</w>", "Sequence", "Sequence"):
@@ -84,6 +92,23 @@ class Encoder:
 
         # letters alone, of a range in which lower-casing goes character by character
         self.piece, self.cut, self.plain = piece, self._words, lambda letters: letters.lower() if _PLAIN.fullmatch(letters) else None
+        self.pieces = pattern.findall
+        self._open_merges(spec["model"])
+
+    def _open_merges(self, model: dict) -> None:
+        """The word vocabulary by its ranks. A space, which no word holds, closes each word: it joins the word's
+        last byte before anything else, as the ids of the 256 closing bytes are below those of all merges."""
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        back = {c: bytes([b]) for b, c in byte_letters().items()}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if {vocab.get(c) for c in back} != {*range(256)} or {vocab.get(c + suffix) for c in back} != {*range(256, 512)} or any(vocab.get(a + b) != 512 + i for i, (a, b) in enumerate(merges)):
+            return  # ids don't follow the merges' order: the tokenizer's own model takes each word
+        if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            return
+        import tiktoken
+
+        ranks = {b"".join(back[c] for c in t.removesuffix(suffix)) + b" " * t.endswith(suffix): i for t, i in vocab.items() if t not in self.special}
+        self.merge = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def _spaces(self, text: str) -> list[str] | None:
         """Single spaces open a piece, single line ends are pieces: so do the vocabulary's own rules cut
@@ -95,10 +120,24 @@ class Encoder:
     def _words(self, text: str) -> list[str] | None:
         return None if _ODD.search(text) else text.split()
 
+    def _closed(self, text: str) -> str | None:
+        """The words of a plain text, a space after each. Plain characters are in normal form and lower-case one
+        by one."""
+        if _SIMPLE.fullmatch(text) and not _RUN.search(text):
+            text = text.lower()
+            for c, spaced in _SPACED:
+                text = text.replace(c, spaced)
+            return text + " "
+        if not _PLAIN_TEXT.fullmatch(text) or "<|" in text:
+            return None
+        return " ".join(self.pieces(text.lower())) + " "
+
     def raw(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
+        if self.merge and (closed := self._closed(text)) is not None:
+            return self.merge(closed, disallowed_special=()).astype("<u4", copy=False).tobytes()
         chunks = self.cut(text) if self.piece else None
         if chunks is None:
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
