@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from versara.functions.text import base36, tokenize, word_count
@@ -70,35 +70,66 @@ def build(docs: DataFrame, with_families: bool = True) -> Index:
 
 #: Long lists are worked on in blocks, so that no word's list, however common, is one task's work.
 BLOCK = 65_536
+#: Bytes of tables that are read for one task's postings: a million or so of prose.
+SHARE = 8 << 20
+_LIST = ("edition", "token")
+_KEY = (*_LIST, "block")
+_LAST = (1 << 63) - 1
 
 
-def _by_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows with what their block knows; a null edition is an edition like any other."""
-    b = blocks.select(F.col("edition").alias("_e"), F.col("token").alias("_t"), F.col("block").alias("_b"), *[c for c in blocks.columns if c not in ("edition", "token", "block")])
-    return rows.join(b, F.col("edition").eqNullSafe(F.col("_e")) & (F.col("token") == F.col("_t")) & (F.col("block") == F.col("_b"))).drop("_e", "_t", "_b")
+def _tasks(rows: DataFrame) -> int:
+    """One task for each share of the tables that are read, so that what a task sorts doesn't grow with the
+    input; as many as the session has if the size isn't known. A table read twice counts once."""
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    tables = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum({t.canonicalized().hashCode(): int(t.stats().sizeInBytes()) for t in tables}.values())
+    if size >= 1 << 62:
+        return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE))
+
+
+def _dealt(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """Rows dealt out by list and block, once for all that is made of them. Keys are never null, so that windows
+    and joins agree on them: a null edition is one like any other and gets a mark, null documents are a last block."""
+    edition = F.coalesce(F.concat(F.lit("="), "edition"), F.lit("")).alias("edition")
+    block = F.coalesce(F.expr(f"{by} div {BLOCK}"), F.lit(_LAST)).alias("block")
+    return rows.select(edition, "token", block, *columns).repartition(_tasks(rows), *_KEY)
+
+
+def _along(blocks: DataFrame, *columns: Column) -> DataFrame:
+    """What blocks know of those before them in their list, dealt out as their rows are."""
+    n = _tasks(blocks)
+    return blocks.repartition(n, *_LIST).select(*_KEY, *columns).repartition(n, *_KEY)
+
+
+def _edition() -> Column:
+    """The edition without its mark."""
+    return F.when(F.col("edition") != "", F.expr("substring(edition, 2)")).alias("edition")
 
 
 def deltas(entries: DataFrame) -> DataFrame:
     """Postings as differences from the one before in the same list (the first from 0), with their place.
     Inside a block of documents by a window; across blocks by their counts and greatest documents, of which
     a list has few."""
-    rows = entries.select("edition", "token", "doc", F.expr(f"doc div {BLOCK}").alias("block"))
-    line = Window.partitionBy("edition", "token").orderBy("block")
-    blocks = rows.groupBy("edition", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("most"))
-    blocks = blocks.select("edition", "token", "block", (F.sum("n").over(line) - F.col("n")).alias("before"), F.lag("most", 1, 0).over(line).alias("last"))
-    inside = Window.partitionBy("edition", "token", "block").orderBy("doc")
-    joined = _by_block(rows, blocks)
-    pos = (F.col("before") + F.row_number().over(inside)).alias("pos")
-    return joined.select("edition", "token", "doc", pos, (F.col("doc") - F.coalesce(F.lag("doc").over(inside), "last")).alias("delta"))
+    rows = _dealt(entries, "doc", "doc")
+    line = Window.partitionBy(*_LIST).orderBy("block")
+    blocks = rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("most"))
+    blocks = _along(blocks, (F.sum("n").over(line) - F.col("n")).alias("before"), F.lag("most", 1, 0).over(line).alias("last"))
+    inside = Window.partitionBy(*_KEY).orderBy("doc")
+    placed = rows.select(*_KEY, "doc", F.row_number().over(inside).alias("place"), F.lag("doc").over(inside).alias("prior"))
+    pos, delta = F.col("before") + F.col("place"), F.col("doc") - F.coalesce("prior", "last")
+    return placed.join(blocks, list(_KEY)).select(_edition(), "token", "doc", pos.alias("pos"), delta.alias("delta"))
 
 
 def undelta(encoded: DataFrame) -> DataFrame:
     """Differences back to documents: running sums inside blocks of places, and of the blocks' own sums."""
-    rows = encoded.select("edition", "token", "pos", "delta", F.expr(f"pos div {BLOCK}").alias("block"))
-    line = Window.partitionBy("edition", "token").orderBy("block")
-    blocks = rows.groupBy("edition", "token", "block").agg(F.sum("delta").alias("s")).select("edition", "token", "block", (F.sum("s").over(line) - F.col("s")).alias("before"))
-    inside = Window.partitionBy("edition", "token", "block").orderBy("pos")
-    return _by_block(rows, blocks).select("edition", "token", "pos", (F.col("before") + F.sum("delta").over(inside)).alias("doc"))
+    rows = _dealt(encoded, "pos", "pos", "delta")
+    line = Window.partitionBy(*_LIST).orderBy("first")
+    blocks = rows.groupBy(*_KEY).agg(F.min("pos").alias("first"), F.sum("delta").alias("s"))
+    blocks = _along(blocks, (F.sum("s").over(line) - F.col("s")).alias("before"))
+    inside = Window.partitionBy(*_KEY).orderBy("pos")
+    placed = rows.select(*_KEY, "pos", F.col("delta").isNotNull().alias("known"), F.sum("delta").over(inside).alias("since"))
+    return placed.join(blocks, list(_KEY)).select(_edition(), "token", "pos", F.when(F.col("known"), F.col("before") + F.col("since")).alias("doc"))
 
 
 def lists36(encoded: DataFrame) -> DataFrame:
