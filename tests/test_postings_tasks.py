@@ -32,3 +32,8 @@ def test_documents_without_a_number_stay(spark):
     encoded = index.deltas(entries)
     assert sorted([tuple(r) for r in encoded.select("pos", "doc", "delta").where("edition = 'en'").collect()]) == [(1, 3, 3), (2, 70_000, 69_997), (3, None, None)]
     assert {(r.edition, r.doc) for r in index.undelta(encoded).collect()} == {("en", 3), ("en", 70_000), ("en", None), (None, None)}
+
+
+def test_encoding_tasks_stay_small(spark, sf, tmp_path, monkeypatch):
+    (small, few), (large, many) = (most(spark, "postings_delta_encode", p) for p in corpora(spark, sf, tmp_path, monkeypatch))
+    assert many == 4 * few and large < 1.5 * small
