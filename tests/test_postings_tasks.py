@@ -16,9 +16,10 @@ def corpora(spark, sf, tmp_path, monkeypatch):
     return [f"{tmp_path}/{n}" for n in (1, 4)]
 
 
-def most(spark, name, path):
-    """Rows of the largest task, and of all."""
-    n = [r["count"] for r in queries.QUERIES[name](spark, path).groupBy(F.spark_partition_id()).count().collect()]
+def most(spark, name, path, rows=None):
+    """Rows (or what stands for them) of the largest task, and of all."""
+    rows = F.count(F.lit(1)) if rows is None else rows
+    n = [r.n for r in queries.QUERIES[name](spark, path).groupBy(F.spark_partition_id()).agg(rows.alias("n")).collect()]
     return max(n), sum(n)
 
 
@@ -37,3 +38,9 @@ def test_documents_without_a_number_stay(spark):
 def test_encoding_tasks_stay_small(spark, sf, tmp_path, monkeypatch):
     (small, few), (large, many) = (most(spark, "postings_delta_encode", p) for p in corpora(spark, sf, tmp_path, monkeypatch))
     assert many == 4 * few and large < 1.5 * small
+
+
+def test_base36_tasks_stay_small(spark, sf, tmp_path, monkeypatch):
+    places = F.sum(F.size(F.split("encoded", " ")))
+    (small, few), (large, many) = (most(spark, "postings_base36", p, places) for p in corpora(spark, sf, tmp_path, monkeypatch))
+    assert many == 4 * few and large < 1.5 * small

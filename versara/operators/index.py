@@ -135,4 +135,5 @@ def undelta(encoded: DataFrame) -> DataFrame:
 def lists36(encoded: DataFrame) -> DataFrame:
     """Lists as strings of base-36 differences, in segments of 65,536 places."""
     items = F.array_sort(F.collect_list(F.struct("pos", base36(F.col("delta")).alias("d"))))
-    return encoded.groupBy("edition", "token", F.expr(f"(pos - 1) div {BLOCK}").alias("segment")).agg(F.array_join(F.transform(items, lambda r: r["d"]), " ").alias("encoded"))
+    rows = encoded.select("edition", "token", F.expr(f"(pos - 1) div {BLOCK}").alias("segment"), "pos", "delta").repartition(_tasks(encoded), *_LIST, "segment")
+    return rows.groupBy(*_LIST, "segment").agg(F.array_join(F.transform(items, lambda r: r["d"]), " ").alias("encoded"))
